@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runmill.llm.bpe import encode_documents, round_trip_digests
+from runmill.llm.chat import OP2_SQL, format_preferences, swapped_answers
 from runmill.llm.mixing import mix_rows
+from runmill.llm.quality import assess
+from runmill.llm.secret_scan import scan_documents
 from runmill.llm.sharding import shard_documents
 
 
@@ -15,6 +19,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, decoded layers included."""
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the chosen side, against itself with the next conversation's last turn."""
+    return format_preferences(swapped_answers(_table(spark, sf_dir, "conversations")))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return round_trip_digests(encode_documents(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mix whose source weights are the square roots of the source sizes."""
     return mix_rows(_table(spark, sf_dir, "documents")).select(
@@ -33,9 +55,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return assess(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_sharding)}
+    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_preferences": OP2_SQL}
