@@ -38,7 +38,7 @@ MAX_REPEATED_PERCENT = 30
 #: Interquartile ranges above the upper quartile that a rate may reach.
 SPREAD = 8.0
 #: Rates and what is added to their fences.
-RATES = {"symbol_rate": 0.10, "dup_line_rate": 0.25, "long_word_rate": 3.0}
+RATES = {"symbol_rate": 0.10, "dup_line_rate": 0.50, "long_word_rate": 3.0, "stutter_rate": 0.20}
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -92,6 +92,10 @@ def _measured(part: Slice) -> list[np.ndarray]:
     inside = np.cumsum(mark[:-1], dtype=np.int8) > 0
     n_words = np.diff(part.word_at)
     starts = np.concatenate(([0], ends[:-1]))
+    # Words equal to the word before them in the same row.
+    stutter = np.zeros(len(part.hash), bool)
+    stutter[1:] = part.hash[1:] == part.hash[:-1]
+    stutter[part.word_at[:-1][n_words > 0]] = False
     raw = data.tobytes()
     return [
         n_words,
@@ -100,14 +104,15 @@ def _measured(part: Slice) -> list[np.ndarray]:
         np.array([_dup_lines(raw[a:b]) for a, b in zip(starts, ends, strict=True)], np.int64),
         np.array([_repeated(part.hash[a:b]) if b - a > REPEAT_WORDS else 0 for a, b in zip(part.word_at[:-1], part.word_at[1:], strict=True)], np.int64),
         np.array([1 + raw.count(b"\n", a, b) for a, b in zip(starts, ends, strict=True)], np.int64),
+        _sums(stutter, part.word_at[1:]),
     ]
 
 
-_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines); no shuffle."""
+    """Rows (doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stutters); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +140,7 @@ def judge(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
         .withColumn("symbol_rate", F.when(words > 0, F.col("n_symbols") / words).otherwise(0.0))
         .withColumn("dup_line_rate", F.col("n_dup_lines") / F.col("n_lines"))
         .withColumn("long_word_rate", F.when(words > 0, F.col("word_chars") / words).otherwise(0.0))
+        .withColumn("stutter_rate", F.when(words > 0, F.col("n_stutters") / words).otherwise(0.0))
     )
     sketches = (
         rated.where(~F.col("base_failed"))

@@ -13,6 +13,7 @@ from runmill.llm.mixing import mix_rows
 from runmill.llm.quality import assess
 from runmill.llm.secret_scan import scan_documents
 from runmill.llm.sharding import shard_documents
+from runmill.llm.toxicity import learn, score_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return assess(_table(spark, sf_dir, "documents")).select(
@@ -63,7 +70,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op9_quality)}
+    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
