@@ -31,13 +31,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Characters or ids that a worker unpacks to Python objects at a time (a longer row is one step).
+STEP = 1 << 19
 
 
 class Vocabulary(dict):
@@ -52,11 +55,14 @@ class Vocabulary(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.pattern = regex.compile(pattern)
-        size = max(ranks.values()) + 1
+        size = len(ranks)
+        if sorted(ranks.values()) != list(range(size)):
+            raise ValueError("ranks must be 0, 1, 2, ... without gaps")
         self.raw: list[bytes] = [b""] * size
         for token, rank in ranks.items():
             self.raw[rank] = token
-        self.decimal = [str(i) for i in range(size)]
+        self._raw_array = pa.array(self.raw, pa.large_binary())
+        self._decimal_array = pa.array([f"{i} ".encode() for i in range(size)], pa.large_binary())
 
     def __missing__(self, piece: str) -> list[int]:
         if len(self) >= REMEMBERED:
@@ -68,11 +74,28 @@ class Vocabulary(dict):
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def encode(self, pieces: list[str]) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, pieces)))
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text of one chunk: each match of the pattern encoded by itself."""
+        return np.frombuffer(self._core.encode_to_tiktoken_buffer(text, set()), np.uint32).astype(np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> Iterator[memoryview]:
+        """The raw bytes of each row's ids."""
+        return _joined_rows(self._raw_array, ids)
+
+    def decimals(self, ids: pa.ListArray) -> Iterator[memoryview]:
+        """Each row's ids in decimal, each followed by a blank."""
+        return _joined_rows(self._decimal_array, ids)
+
+
+def _joined_rows(table: pa.LargeBinaryArray, ids: pa.ListArray) -> Iterator[memoryview]:
+    """Entries of ``table`` by the ids of each row, joined: one gather for all rows."""
+    values = ids.flatten()
+    got = table.take(values)
+    ends = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    data = memoryview(got.buffers()[2]) if len(values) and got.buffers()[2] is not None else memoryview(b"")
+    at = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(ids).fill_null(0)), dtype=np.int64)))
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield data[ends[a] : ends[b]]
 
 
 @lru_cache(maxsize=2)
@@ -80,6 +103,16 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+def steps(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch of about STEP characters or ids each."""
+    ends = np.cumsum(np.asarray(sizes.fill_null(0)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def cut(text: str, chunk: int, overlap: int) -> list[str]:
     """Chunk k begins at character k * chunk and reaches ``overlap`` into the next."""
     return [text[at : at + chunk + overlap] for at in range(0, len(text), chunk)] or [""]
@@ -171,7 +204,7 @@ def encode_text(vocab: Vocabulary, text: str, chunk: int = CHUNK_CHARS, overlap:
     """Ids of one text, by chunks."""
     texts: list[str] = cut(text, chunk, overlap)
     if len(texts) == 1:
-        return np.array(vocab.encode(vocab.pieces(text)), np.int64)
+        return vocab.encode(text).astype(np.int64)
     parts = [_encoded(vocab, x, k == len(texts) - 1) for k, x in enumerate(texts)]
     return stitch(vocab, texts, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], chunk)
 
@@ -196,8 +229,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            got = [vocab.encode(vocab.pieces(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for part in steps(batch, pc.binary_length(batch.column(1))):
+                got = [vocab.encode(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,9 +246,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            found = [_encoded(vocab, t, k == n - 1) for t, k, n in zip(*(batch.column(c).to_pylist() for c in (4, 2, 3)), strict=True)]
-            packed = [pa.array([x[j].astype(np.int32).tobytes() for x in found], pa.binary()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "starts", "counts", "ids"])
+            for part in steps(batch, pc.binary_length(batch.column(4))):
+                found = [_encoded(vocab, t, k == n - 1) for t, k, n in zip(*(part.column(c).to_pylist() for c in (4, 2, 3)), strict=True)]
+                packed = [pa.array([x[j].astype(np.int32).tobytes() for x in found], pa.binary()) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *packed], names=[*part.schema.names, "starts", "counts", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
         vocab = vocabulary(path, pattern)
@@ -247,8 +282,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            data = [vocab.decode(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
+            for part in steps(batch, pc.list_value_length(batch.column(1))):
+                data = pa.array(map(bytes, vocab.decode(part.column(1))), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), data], names=["doc_id", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, data binary")
 
@@ -260,15 +296,16 @@ def round_trip_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            ids = [x or [] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(map(vocab.decimal.__getitem__, x)).encode()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(vocab.decode(x)).hexdigest() for x in ids]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in steps(batch, pc.list_value_length(batch.column(1))):
+                ids = part.column(1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pc.list_value_length(ids).fill_null(0).cast(pa.int64()),
+                        pa.array((hashlib.sha256(x[:-1]).hexdigest() for x in vocab.decimals(ids)), pa.string()),
+                        pa.array((hashlib.sha256(x).hexdigest() for x in vocab.decode(ids)), pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
