@@ -13,6 +13,7 @@ from runmill.llm.mixing import mix_rows
 from runmill.llm.quality import assess
 from runmill.llm.secret_scan import scan_documents
 from runmill.llm.sharding import shard_documents
+from runmill.llm.substring import remove_repeated
 from runmill.llm.toxicity import learn, score_documents
 
 
@@ -62,6 +63,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated 35-word windows."""
+    return remove_repeated(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return assess(_table(spark, sf_dir, "documents")).select(
@@ -70,7 +76,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op9_quality)}
+    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op8_substrings, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
