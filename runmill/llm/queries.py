@@ -15,6 +15,7 @@ from runmill.llm.secret_scan import scan_documents
 from runmill.llm.sharding import shard_documents
 from runmill.llm.substring import remove_repeated
 from runmill.llm.toxicity import learn, score_documents
+from runmill.llm.vectors import link_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +76,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors, within their labels."""
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op8_substrings, op9_quality)}
+    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op8_substrings, op9_quality, op10_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
