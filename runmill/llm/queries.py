@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runmill.llm.bpe import encode_documents, round_trip_digests
 from runmill.llm.chat import OP2_SQL, format_preferences, swapped_answers
 from runmill.llm.mixing import mix_rows
+from runmill.llm.ngram_join import join_documents
 from runmill.llm.quality import assess
 from runmill.llm.secret_scan import scan_documents
 from runmill.llm.sharding import shard_documents
@@ -64,6 +65,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the least id of its component."""
+    return join_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of repeated 35-word windows."""
     return remove_repeated(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -82,7 +88,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op8_substrings, op9_quality, op10_vectors)}
+    return {f.__name__: f for f in (op1_secrets, op2_preferences, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op7_ngram_join, op8_substrings, op9_quality, op10_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
