@@ -1,0 +1 @@
+"""A sort-centred data-processing library over Spark DataFrames."""
