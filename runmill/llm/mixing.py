@@ -19,9 +19,10 @@ and the proportions among them.  No row is dropped or repeated.
 
 Cases: rows with a null source form one source of their own; an empty table
 gives an empty result; repeated rows are kept and get different positions;
-further columns pass through ``mix_rows`` unchanged, if their names do not
-start with ``_mix``.  The number of sources may be ``period`` at most, which
-bounds what is broadcast; beyond it the job fails with that message.
+further columns pass through unchanged, whatever their names, but for those that
+``mix_rows`` adds itself, which it replaces.  The number of sources may be
+``period`` at most, which bounds what is broadcast; beyond it the job fails with
+that message.
 """
 
 from __future__ import annotations
@@ -101,8 +102,9 @@ def mix_rows(
     alpha: float = ALPHA,
     block_rows: int = BLOCK_ROWS,
     period: int = PERIOD,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with _mix_block, _mix_release, _mix_deadline, _mix_slot and _mix_position.
+    """``docs`` (or the columns ``carry`` of it) with _mix_block, _mix_release, _mix_deadline, _mix_slot and _mix_position.
 
     Inside a source rows stand in the order of a hash.  _mix_slot is the slot of
     the row's block if no source ever ran out, _mix_release and _mix_deadline
@@ -114,9 +116,11 @@ def mix_rows(
     """
     if block_rows < 1 or period < 1:
         raise ValueError("block_rows and period must be positive")
-    columns = docs.columns
+    added = ["_mix_block", "_mix_release", "_mix_deadline", "_mix_slot", "_mix_position"]
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in added] or ["doc_id"]
     rows = docs.select(
-        "*",
+        F.struct(*carried).alias("_mix_row"),
+        F.col("doc_id").alias("_mix_id"),
         F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-")).alias("_mix_source"),
         F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text")).alias("_mix_hash"),
     ).withColumn("_mix_range", F.shiftrightunsigned("_mix_hash", 56).cast("int"))
@@ -128,7 +132,7 @@ def mix_rows(
     earlier = Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
     # At most RANGES rows a source.
     offsets = keys.groupBy("_mix_source", "_mix_range").agg(F.count(F.lit(1)).alias("c")).select("_mix_source", "_mix_range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_mix_from"))
-    within = Window.partitionBy("_mix_source", "_mix_range").orderBy(F.shiftleft("_mix_hash", 8), "doc_id")
+    within = Window.partitionBy("_mix_source", "_mix_range").orderBy(F.shiftleft("_mix_hash", 8), "_mix_id")
     index = F.col("_mix_from") + F.col("_mix_rank") - 1
     placed = (
         rows.withColumn("_mix_rank", F.row_number().over(within))
@@ -142,7 +146,7 @@ def mix_rows(
     )
     ahead = f"aggregate(_mix_before, 0L, (s, x) -> s + least(x.n, (_mix_period * x.q + x.c) * {block_rows}))"
     return placed.select(
-        *[F.col(f"`{c}`") for c in columns],
+        *[F.col(f"_mix_row.`{c}`") for c in carried],
         "_mix_block",
         F.expr(f"_mix_block * {period} div _mix_q").alias("_mix_release"),
         F.expr(f"((_mix_block + 1) * {period} + _mix_q - 1) div _mix_q").alias("_mix_deadline"),
@@ -157,5 +161,6 @@ def mix_order(docs: DataFrame, **how) -> DataFrame:
     Ranges of positions become partitions, each sorted; files written from it
     hold consecutive pieces of the mix.
     """
-    mixed = mix_rows(docs, **how)
-    return mixed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select("doc_id", "text", "source", F.struct("*").alias("_whole"))
+    mixed = mix_rows(packed, carry=["_whole"], **how)
+    return mixed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select("_whole.*")

@@ -350,6 +350,5 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it.  Repeated rows count as one."""
     joined = join_documents(docs, **how)
     gone = joined.where("NOT (doc_id <=> component_id)").select("key").distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = keyed.join(gone.withColumnRenamed("key", "_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct("*").alias("row"))
+    return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")

@@ -43,7 +43,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mix whose source weights are the square roots of the source sizes."""
-    return mix_rows(_table(spark, sf_dir, "documents")).select(
+    return mix_rows(_table(spark, sf_dir, "documents"), carry=["doc_id", "source"]).select(
         "doc_id",
         "source",
         F.col("_mix_block").alias("block"),
