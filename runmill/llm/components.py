@@ -17,7 +17,10 @@ from runmill.llm.durable import durable
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: neighbours of each vertex (larger ones, or smaller ones) are linked to its smallest neighbour."""
+    """One step: neighbours of each vertex (larger ones, or smaller ones) are linked to its smallest neighbour.
+
+    What the large step repeats goes in the small step that follows.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -28,7 +31,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    out = out.where("a != b")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -7,7 +7,8 @@ set lies farther than 1/4 from every other document.  Shingle hashes are dealt
 to ranges in packed blocks (five bytes a hash), each range finds the hashes that
 one set alone has, and the counts add up per set.  A fixed part of the hash
 space is enough to prove most documents alone; a second round, over the others
-only, takes every hash.
+only, takes every hash.  Counts travel packed, a row for each range and bucket of
+sets, and only for hashes that are shared.
 
 Regions.  In each remaining set the rarest shingles come first.  Linked sets
 share one of their first floor(n/4)+1 shingles, so sets that share such a
@@ -98,13 +99,35 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return h[order], ids[order]
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """How many hashes of the range each set has alone."""
+def _repeated(table: pa.Table, buckets: int) -> pa.Table:
+    """How many hashes of the range each set shares with others, packed into a row for each bucket of sets."""
     h, ids = _unpacked(table)
-    begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    last = np.append(begin[1:], len(h)) - 1
-    single, n = np.unique(ids[begin[ids[begin] == ids[last]]], return_counts=True)
-    return pa.table({"id": single, "n": n.astype(np.int64)})
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])))
+    h, ids = h[new], ids[new]
+    same = h[1:] == h[:-1]
+    shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    some, n = np.unique(ids[shared], return_counts=True)
+    bucket = (mix(some.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    some, n, bucket = some[order], n[order].astype(np.uint32), bucket[order]
+    which, at = np.unique(bucket, return_index=True)
+    ends = np.append(at[1:], len(bucket))
+    return pa.table(
+        {
+            "bucket": which,
+            "ids": pa.array([some[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
+            "counts": pa.array([n[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
+        }
+    )
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+    some, at = np.unique(ids, return_inverse=True)
+    total = np.zeros(len(some), np.int64)
+    np.add.at(total, at, n)
+    return pa.table({"id": some, "shared": total})
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -120,14 +143,24 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"id": ids[many], "hash": key, "df": df[many].astype(np.int32)})
 
 
-def _by_range(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Sets], total: int, sampled: int, reduce: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def _by_range(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Sets], total: int, sampled: int) -> tuple[DataFrame, int]:
+    """Packed hashes, a row for each batch and range, and the number of ranges."""
     ranges = min(1 << 16, max(1, math.ceil(total * sampled / (1 << 16) / RANGE_HASHES)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in read(batches):
             yield _packed(ids, sets, ranges, sampled)
 
-    return rows.mapInArrow(deal, "range int, ids binary, counts binary, hashes binary").groupBy("range").applyInArrow(reduce, schema)
+    return rows.mapInArrow(deal, "range int, ids binary, counts binary, hashes binary"), ranges
+
+
+def _not_alone(sets: DataFrame, dealt: tuple[DataFrame, int]) -> DataFrame:
+    """Sets (id, n, looked: hashes that were dealt) that may have a partner: those of which enough is shared."""
+    rows, buckets = dealt
+    counts = rows.groupBy("range").applyInArrow(lambda t: _repeated(t, buckets), "bucket int, ids binary, counts binary")
+    shared = counts.groupBy("bucket").applyInArrow(_summed, "id long, shared long")
+    alone = F.col("looked") - F.coalesce("shared", F.lit(0))
+    return sets.join(shared, "id", "left").where(100 * (F.col("n") - alone) >= PERCENT * F.col("n")).drop("shared", "looked")
 
 
 def _sets_of_texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Sets:
@@ -298,8 +331,14 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
         for batch in batches:
             sets = list(shingle_sets(batch.column(2), shingle))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "key", "n", "id"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_fingerprint(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([int(((s & np.uint64(0xFFFF)) < np.uint64(SAMPLED)).sum()) for s in sets], pa.int64()),
+                ],
+                names=["doc_id", "key", "n", "id", "looked"],
             )
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,15 +346,11 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
             sets = list(shingle_sets(batch.column(1), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
 
-    known = durable(rows.select("doc_id", "key", "text").mapInArrow(sizes, f"doc_id {id_type}, key long, n long, id long"))
-    classes = durable(known.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n")))
+    known = durable(rows.select("doc_id", "key", "text").mapInArrow(sizes, f"doc_id {id_type}, key long, n long, id long, looked long"))
+    classes = durable(known.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("looked").alias("looked")))
     total = known.agg(F.sum("n")).first()[0] or 0
 
-    def not_alone(sets: DataFrame, counts: DataFrame) -> DataFrame:
-        alone = counts.groupBy("id").agg(F.sum("n").alias("alone"))
-        return sets.join(alone, "id", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= PERCENT * F.col("n")).drop("alone")
-
-    first = not_alone(classes, _by_range(rows.select("text"), lambda x: _sets_of_texts(x, shingle), total, SAMPLED, _alone, "id long, n long"))
+    first = _not_alone(classes, _by_range(rows.select("text"), lambda x: _sets_of_texts(x, shingle), total, SAMPLED))
     sets = durable(
         rows.select("key", "text")
         .join(first.select("key", "id").hint("shuffle_hash"), "key")
@@ -324,11 +359,11 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
         .mapInArrow(hashes, "id long, n long, hashes binary")
     )
     left = sets.agg(F.sum("n")).first()[0] or 0
-    sets = durable(not_alone(sets, _by_range(sets.select("id", "hashes"), _sets_of_rows, left, 1 << 16, _alone, "id long, n long")))
+    sets = durable(_not_alone(sets.withColumn("looked", F.col("n")), _by_range(sets.select("id", "hashes"), _sets_of_rows, left, 1 << 16)))
     left = sets.agg(F.sum("n")).first()[0] or 0
 
     # Rarest first: hashes of one set alone, then by number of sets and hash.
-    shared = _by_range(sets.select("id", "hashes"), _sets_of_rows, left, 1 << 16, _shared, "id long, hash long, df int")
+    shared = _by_range(sets.select("id", "hashes"), _sets_of_rows, left, 1 << 16)[0].groupBy("range").applyInArrow(_shared, "id long, hash long, df int")
     ordered = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("order")).join(sets.select("id", "n"), "id")
     prefix = durable(ordered.select("id", F.explode(F.expr("slice(order, 1, CAST(greatest(0, n div 4 + 1 - (n - size(order))) AS INT)).hash")).alias("hash")))
     centres = prefix.groupBy("hash").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre != other").select("hash", "centre")
@@ -342,7 +377,8 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
     roots = components(links)
     member = classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "root").select("id", "component_id")
+    # Written, so that the last join has plain inputs and Spark can split a hot set of copies.
+    named = durable(member.join(least, "root").select("id", "component_id"))
     return known.join(named, "id", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
