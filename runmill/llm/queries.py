@@ -14,6 +14,7 @@ from runmill.llm.ngram_join import join_documents
 from runmill.llm.quality import assess
 from runmill.llm.secret_scan import scan_documents
 from runmill.llm.sharding import shard_documents
+from runmill.llm.sql import OP7_SQL, OP8_SQL, OP9_SQL, OP10_SQL
 from runmill.llm.substring import remove_repeated
 from runmill.llm.toxicity import learn, score_documents
 from runmill.llm.vectors import link_vectors
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preferences": OP2_SQL}
+    return {"op2_preferences": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_substrings": OP8_SQL, "op9_quality": OP9_SQL, "op10_vectors": OP10_SQL}
