@@ -111,7 +111,7 @@ def _repeated(table: pa.Table, buckets: int) -> pa.Table:
     order = np.argsort(bucket, kind="stable")
     some, n, bucket = some[order], n[order].astype(np.uint32), bucket[order]
     which, at = np.unique(bucket, return_index=True)
-    ends = np.append(at[1:], len(bucket))
+    ends = np.append(at, len(bucket))[1:]
     return pa.table(
         {
             "bucket": which,
@@ -322,8 +322,15 @@ def _region_links(items: DataFrame, leaf: int, pivots: int, max_rounds: int = 12
     return links
 
 
+#: Of the rows of a component the one of least id comes first, ids that are null last.
+_RANK = "struct(doc_id IS NULL AS no_id, doc_id, key)"
+
+
 def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
-    """Rows (doc_id, key, n_shingles, component_id); key is a hash of id and text that tells rows apart."""
+    """Rows (doc_id, key, n_shingles, component_id, first); key is a hash of id and text that tells rows apart.
+
+    first marks the one row of a component that stands for it (and its repetitions, of equal key).
+    """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -347,7 +354,7 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
 
     known = durable(rows.select("doc_id", "key", "text").mapInArrow(sizes, f"doc_id {id_type}, key long, n long, id long, looked long"))
-    classes = durable(known.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("looked").alias("looked")))
+    classes = durable(known.where("id IS NOT NULL").groupBy("id").agg(F.min(F.expr(_RANK)).alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("looked").alias("looked")))
     total = known.agg(F.sum("n")).first()[0] or 0
 
     first = _not_alone(classes, _by_range(rows.select("text"), lambda x: _sets_of_texts(x, shingle), total, SAMPLED))
@@ -376,15 +383,21 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
         links = part if links is None else links.unionByName(part)
     roots = components(links)
     member = classes.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = member.groupBy("root").agg(F.min("least").alias("least"))
     # Written, so that the last join has plain inputs and Spark can split a hot set of copies.
-    named = durable(member.join(least, "root").select("id", "component_id"))
-    return known.join(named, "id", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = durable(member.select("id", "root").join(least, "root").select("id", "least.doc_id", "least.key").toDF("id", "component_id", "stands"))
+    return known.join(named, "id", "left").select(
+        "doc_id",
+        "key",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("key") == F.col("stands"), F.lit(True)).alias("first"),
+    )
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it.  Repeated rows count as one."""
+    """``docs`` with one document of each component: that of least id.  Repeated rows count as one."""
     joined = join_documents(docs, **how)
-    gone = joined.where("NOT (doc_id <=> component_id)").select("key").distinct()
+    gone = joined.where("NOT first").select("key").distinct()
     keyed = docs.select(F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct("*").alias("row"))
     return keyed.join(gone, "key", "left_anti").dropDuplicates(["key"]).select("row.*")

@@ -95,6 +95,9 @@ def test_one_of_each(spark):
     assert kept.columns == df.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, _, c in joined(rows)})
     assert one_of_each(df.limit(0)).count() == 0
+    # Ids that are null or repeat leave one document of each group, too.
+    odd = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (5, "g h"), (5, "G h"), (6, "g  h"), (7, None), (7, None), (8, None)], "doc_id long, text string")
+    assert sorted(((x.doc_id, (x.text or "").lower()) for x in one_of_each(odd).collect()), key=str) == sorted([(None, "a b c d e f"), (5, "g h"), (7, ""), (8, "")], key=str)
 
 
 def kept_words(rows, size=35):
