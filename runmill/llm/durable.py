@@ -1,27 +1,6 @@
 """Cutting lineage in the folder that all executors share."""
 
-from __future__ import annotations
+from runmill.plans.durable import shared_folder
+from runmill.plans.durable import written as durable
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set, as in tests on one machine, a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once, as a table in the shared folder, and go on from the written rows.
-
-    Unlike a checkpoint of internal rows the table is compressed and read by
-    column; a lost executor costs nothing but rereading.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["durable", "shared_folder"]

@@ -13,9 +13,9 @@ the worklist, until nothing new decodes:
 A layer knows where each of its characters comes from, so a secret found at
 any depth is reported as a span of the document (code points, end exclusive).
 A layer whose text equals that of one of its ancestors is not entered again;
-so a decoding cycle ends.  Text escapes and base64 only shrink a layer; for
-compressed data ``max_expanded`` bounds the bytes unpacked for one document,
-and a document that meets the bound is reported with ``complete`` false.
+so a decoding cycle ends.  A bound on what all layers of a document hold together
+(``max_expanded``) stops compression bombs and escapes nested thousands deep; a
+document that meets it is reported with ``complete`` false.
 
 Cases: a null text counts as empty; a text without secrets has empty ``spans``;
 long texts are scanned whole; repeated rows are scanned each; an empty table
@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-#: Most bytes that compressed layers of one document may unpack to.
-MAX_EXPANDED = 64 << 20
+#: What the layers of one document may hold together: so much, or so many times the text if that is more.
+MAX_EXPANDED, EXPANDED_X = 64 << 20, 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_PARTS = ("passw", "secret", "token", "apikey", "api_key")
@@ -88,12 +88,13 @@ class Layer:
 
     def up(self, start: int, end: int) -> tuple[int, int]:
         """The document span of text[start:end]."""
-        if self.parent is None:
-            return start, end
-        a, b = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
-        s = self.origin[a] + (start - self.at[a] if self.plain[a] else 0)
-        e = self.origin[b] + (end - self.at[b]) if self.plain[b] else self.ends[b]
-        return self.parent.up(s, e)
+        layer = self
+        while layer.parent is not None:
+            a, b = bisect_right(layer.at, start) - 1, bisect_right(layer.at, end - 1) - 1
+            end = layer.origin[b] + (end - layer.at[b]) if layer.plain[b] else layer.ends[b]
+            start = layer.origin[a] + (start - layer.at[a] if layer.plain[a] else 0)
+            layer = layer.parent
+        return start, end
 
     def touches(self, start: int, end: int) -> bool:
         """Whether text[start:end] holds a decoded character."""
@@ -251,7 +252,7 @@ def scan(text: str | None, max_expanded: int = MAX_EXPANDED) -> tuple[list[Span]
     text = text or ""
     base = base_spans(text)
     every = set(base)
-    budget = _Budget(max_expanded)
+    budget = _Budget(max(max_expanded, EXPANDED_X * len(text)))
     work, layers = [_root(text)], 0
     while work:
         layer = work.pop()
@@ -266,7 +267,13 @@ def scan(text: str | None, max_expanded: int = MAX_EXPANDED) -> tuple[list[Span]
             below.append(_escaped(layer, _URL, _url))
         if "\\" in layer.text:
             below.append(_escaped(layer, _UNICODE, _unicode))
-        work += [x for x in (*below, *_base64_layers(layer, budget)) if x is not None and not layer.seen(x.digest)]
+        for x in (*below, *_base64_layers(layer, budget)):
+            if x is not None and not layer.seen(x.digest):
+                if len(x.text) > budget.left:
+                    budget.met = True
+                else:
+                    budget.left -= len(x.text)
+                    work.append(x)
     return base, sorted(every), layers, not budget.met
 
 

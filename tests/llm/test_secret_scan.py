@@ -57,6 +57,8 @@ def test_cycles_and_bombs_end():
     assert scan("%25" * 1000)[3] and scan("%2525252541")[2] >= 2
     bomb = base64.b64encode(gzip.compress(b"a" * 3_000_000)).decode()
     assert scan(bomb, 1 << 20)[3] is False and scan(bomb)[3] is True
+    deep = "token%3Dabcdefgh".replace("%", "%" + "25" * 1500)
+    assert (0, 0) in {s[:2] for s in scan(deep)[1]} and scan("%" + "25" * 40_000)[3] is False
 
 
 def test_base_spans_stay():
