@@ -4,8 +4,9 @@ A record starts a new bin if it doesn't fit into the current one.  Where a bin
 starts decides all later starts, so the sequence is cut into chunks and each
 chunk first tells what it would do: for every record that could start its first
 bin of its own, the bins it opens and what is left in the last.  Those
-summaries, one for each chunk, are folded in order; then every chunk knows its
-state at entry and packs its own records.
+summaries, one for each chunk and with one bin's worth of records at most, are
+folded in order by one task; then every chunk knows its state at entry and packs
+its own records.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Records of a chunk.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 
 
 def _starts(total: np.ndarray, capacity: int) -> np.ndarray:
