@@ -163,14 +163,21 @@ def _not_alone(sets: DataFrame, dealt: tuple[DataFrame, int]) -> DataFrame:
     return sets.join(shared, "id", "left").where(100 * (F.col("n") - alone) >= PERCENT * F.col("n")).drop("shared", "looked")
 
 
-def _sets_of_texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Sets:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows, to bound what a worker unpacks at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _sets_of_texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Sets:
+    for batch in _parts(batches, 2048):
         sets = list(shingle_sets(batch.column(0), shingle))
         yield np.array([_fingerprint(s) for s in sets], np.int64), sets
 
 
 def _sets_of_rows(batches: Iterator[pa.RecordBatch]) -> Sets:
-    for batch in batches:
+    for batch in _parts(batches, 2048):
         yield batch.column(0).to_numpy(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
 
 
@@ -246,12 +253,13 @@ def _leaf(table: pa.Table) -> pa.Table:
 
 def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their region's pivots become rows of cells, and links to pivots."""
-    for batch in batches:
+    for batch in _parts(batches, 256):
         out: dict[str, list] = {k: [] for k in ("parent", "region", "id", "hashes", "pivot", "nearest", "link")}
         known: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-        for region, one, raw, old, pivots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, (region, one, raw, old) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
             if region not in known:
                 known.clear()
+                pivots = batch.column(4)[i].as_py()
                 known[region] = [p["id"] for p in pivots], [np.frombuffer(p["hashes"], np.uint64) for p in pivots]
             names, sets = known[region]
             own = np.frombuffer(raw, np.uint64)
@@ -335,7 +343,7 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 2048):
             sets = list(shingle_sets(batch.column(2), shingle))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -349,7 +357,7 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
             )
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 2048):
             sets = list(shingle_sets(batch.column(1), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
 
