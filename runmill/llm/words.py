@@ -54,13 +54,10 @@ class Slice:
     def __init__(self, first_row: int, data: np.ndarray, row_ends: np.ndarray, lower: bool):
         self.first_row, self.data, self.row_ends = first_row, data, row_ends
         sep = _SEP[data]
-        edge = np.empty(len(data) + 1, bool)
         # A row's end also ends a word.
         inside = ~sep
         cut = np.zeros(len(data) + 1, bool)
         cut[row_ends] = True
-        edge[0] = False
-        edge[-1] = False
         prev = np.concatenate(([False], inside[:-1]))
         begin = inside & (~prev | cut[:-1])
         after = np.concatenate((inside[1:], [False]))
