@@ -7,11 +7,20 @@ earliest-deadline-first among the released blocks.  The weights sum to 1, so
 every block runs inside its window and, after any number of slots t, a source
 has had w * t blocks up to less than one block.
 
-Weights are multiples of 1/``period``; all windows then repeat after ``period``
-slots, where every source is exactly on target.  One period is scheduled, with
-SQL higher-order functions on one row, and block k of a source takes the place
-of block ``k mod q`` in period ``k div q`` (q: the source's blocks a period).
-So no row waits for another: the place of a row is a closed expression.
+Weights are integers over their sum: given ones exactly (0.6 is 3/5), as far as
+the sum stays under WEIGHT_SUM, to which others are rounded.  Slots are scheduled
+in chunks that don't wait for each other, with SQL higher-order functions on a
+row each.  Which blocks are done where a chunk begins is told without the slots
+before it: of a source's blocks those whose share is over, and as many of the
+blocks under way as fill the slots.  For any b, those of them that end by b must
+not be too many for the slots up to b, so blocks are taken at the first b that
+asks for them, those released first before others; this leaves every block a
+slot inside its window on either side.  A chunk is longer than any window.
+
+With ``period`` given, weights are rounded to multiples of 1/``period`` instead,
+one slot of the period for each source and the others by largest remainder, and
+a chunk is a period.  The deviation is then less than one block from the rounded
+weights, not from the given ones.
 
 Sources end at different times.  A slot of a source that has run out is left
 out and the later ones move up; the rows of the other sources keep the order
@@ -20,18 +29,25 @@ and the proportions among them.  No row is dropped or repeated.
 Cases: rows with a null source form one source of their own; an empty table
 gives an empty result; repeated rows are kept and get different positions;
 further columns pass through unchanged, whatever their names, but for those that
-``mix_rows`` adds itself, which it replaces.  The number of sources may be
-``period`` at most, which bounds what is broadcast; beyond it the job fails with
-that message.
+``mix_rows`` adds itself, which it replaces.  With ``period`` the number of
+sources may be ``period`` at most, else the job fails with that message.  A chunk
+is as long as twice the inverse of the least weight, so its cost grows with that.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import gcd, lcm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots in a period: weights are rounded to multiples of 1/PERIOD.
-PERIOD = 1000
+#: Slots that are scheduled in one row, at least.
+CHUNK = 1000
+#: Tasks of the schedule.
+CHUNK_TASKS = 64
+#: What the integer weights sum to at most, so that block numbers times it fit 63 bits.
+WEIGHT_SUM = 1 << 31
 #: Rows of a source that stay together.
 BLOCK_ROWS = 8
 #: Without given weights, a source's target weight is its number of rows to this power.
@@ -40,59 +56,110 @@ ALPHA = 0.5
 RANGES = 256
 
 
-def _sources(rows: DataFrame, weights: dict[str | None, float] | None, alpha: float, period: int) -> DataFrame:
-    """(_mix_source, _mix_n, _mix_q): rows and blocks a period of each source; q sums to period, each at least 1."""
+def _whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Weights as integers in the same proportions, exact if they sum to WEIGHT_SUM at most."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    over = lcm(*[w.denominator for w in exact.values()])
+    whole = {k: int(w * over) for k, w in exact.items()}
+    common = gcd(*whole.values())
+    whole = {k: w // common for k, w in whole.items()}
+    total = sum(whole.values())
+    return whole if total <= WEIGHT_SUM else {k: max(1, w * (WEIGHT_SUM - len(whole)) // total) for k, w in whole.items()}
+
+
+def _sources(rows: DataFrame, weights: dict[str | None, float] | None, alpha: float, period: int | None) -> DataFrame:
+    """(_mix_source, _mix_n, _mix_q, _mix_total): rows and integer weight of each source, and the sum of the weights."""
     counts = rows.groupBy("_mix_source").agg(F.count(F.lit(1)).alias("_mix_n"))
+    all_rows = Window.partitionBy(F.lit(1))
     if weights is None:
         want: Column = F.pow(F.col("_mix_n").cast("double"), F.lit(float(alpha)))
     else:
         if any(not w > 0 for w in weights.values()):
             raise ValueError("target weights must be positive")
-        want = F.lit(None).cast("double")
-        for name, w in weights.items():
-            want = F.when(F.col("_mix_source") == F.lit("-" if name is None else f"+{name}"), F.lit(float(w))).otherwise(want)
-        want = F.coalesce(want, F.raise_error(F.concat(F.lit("no target weight for source "), F.col("_mix_source"))).cast("double"))
-    all_rows = Window.partitionBy(F.lit(1))
-    # One slot for each source, the others by largest remainder; the table has a row a source.
+        given = weights if period else _whole(weights)
+        want = F.lit(None).cast("double" if period else "long")
+        for name, w in given.items():
+            want = F.when(F.col("_mix_source") == F.lit("-" if name is None else f"+{name}"), F.lit(float(w)) if period else F.lit(w).cast("long")).otherwise(want)
+        want = F.coalesce(want, F.raise_error(F.concat(F.lit("no target weight for source "), F.col("_mix_source"))).cast("double" if period else "long"))
+    shares = counts.withColumn("w", want)
+    if period is None:
+        # The table has a row a source.
+        q = F.col("w") if weights is not None else F.greatest(F.lit(1), F.floor(F.col("w") / F.sum("w").over(all_rows) * (WEIGHT_SUM >> 1))).cast("long")
+        return shares.select("_mix_source", "_mix_n", q.alias("_mix_q")).withColumn("_mix_total", F.sum("_mix_q").over(all_rows))
+    # One slot for each source, the others by largest remainder.
     shares = (
-        counts.withColumn("w", want)
-        .withColumn("n_sources", F.count(F.lit(1)).over(all_rows))
+        shares.withColumn("n_sources", F.count(F.lit(1)).over(all_rows))
         .withColumn("spare", F.when(F.col("n_sources") > period, F.raise_error(F.lit(f"more than {period} sources: raise period"))).otherwise(F.lit(period) - F.col("n_sources")).cast("double"))
         .withColumn("share", F.col("spare") * F.col("w") / F.sum("w").over(all_rows))
         .withColumn("base", F.floor("share"))
         .withColumn("left", F.col("spare") - F.sum("base").over(all_rows))
         .withColumn("place", F.row_number().over(all_rows.orderBy(F.desc(F.col("share") - F.col("base")), "_mix_source")))
     )
-    return shares.select("_mix_source", "_mix_n", (1 + F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long").alias("_mix_q"))
+    q = (1 + F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long")
+    return shares.select("_mix_source", "_mix_n", q.alias("_mix_q"), F.lit(period).cast("long").alias("_mix_total"))
 
 
-def _schedule(sources: DataFrame, period: int) -> DataFrame:
-    """One period, earliest deadline first: (_mix_source, _mix_k, _mix_offset, _mix_before).
+def _done(t: str) -> str:
+    """SQL: the blocks of each source of ``src`` that are done at slot ``t``, where a chunk begins."""
+    fluid = f"{t} * x._mix_q div total"
+    #: The blocks under way: release, number of the source, deadline.
+    under = f"""filter(transform(src, (x, i) -> struct(({fluid}) * total div x._mix_q AS r, i AS i, (({fluid} + 1) * total + x._mix_q - 1) div x._mix_q AS d, {t} * x._mix_q % total AS f)), y -> y.f > 0)"""
+    more = "concat(u, slice(array_sort(array_except({0}, u)), 1, CAST({1} - size(u) AS INT)))".format
+    ask = "(s.c - b + aggregate(src, 0L, (n, x) -> n + b * x._mix_q div total))"
+    taken = f"""aggregate(sequence({t} + 1, coalesce(array_max(transform(s.under, y -> y.d)), {t} + 1)), filter(s.under, y -> false),
+        (u, b) -> IF({ask} > size(u), {more("filter(s.under, y -> y.d <= b)", ask)}, u),
+        u -> transform({more("s.under", "s.c")}, y -> y.i))"""
+    return f"""transform(transform(array(struct({under} AS under, {t} - aggregate(src, 0L, (n, x) -> n + {fluid}) AS c)), s -> {taken}),
+        took -> transform(src, (x, i) -> {fluid} + IF(array_contains(took, i), 1L, 0L)))[0]"""
 
-    _mix_before holds for each source (in the order of its name) its number of
-    rows, blocks a period, and blocks of this period before the offset.  Windows
-    are computed in integers: release k*P div q, deadline ((k+1)*P + q-1) div q.
+
+def _schedule(sources: DataFrame, block_rows: int, period: int | None) -> DataFrame:
+    """The slot of every block, earliest deadline first: (_mix_source, _mix_block, _mix_release, _mix_deadline, _mix_slot, _mix_before).
+
+    _mix_before is the number of rows in the slots before.  Windows are computed
+    in integers: release k*total div q, deadline ((k+1)*total + q-1) div q.
     """
-    one = sources.agg(F.array_sort(F.collect_list(F.struct("_mix_source", "_mix_n", "_mix_q"))).alias("src")).where(F.size("src") > 0)
-    released = f"done[i] < src[i]._mix_q AND done[i] * {period} div src[i]._mix_q <= t"
-    deadline = f"((done[i] + 1) * {period} + src[i]._mix_q - 1) div src[i]._mix_q"
+    one = sources.agg(F.array_sort(F.collect_list(F.struct("_mix_source", "_mix_n", "_mix_q"))).alias("src"), F.max("_mix_total").alias("total")).where(F.size("src") > 0)
+    size = f"{period}L" if period else f"greatest({CHUNK}L, 2 * ((total + array_min(transform(src, x -> x._mix_q)) - 1) div array_min(transform(src, x -> x._mix_q))) + 2)"
+    # Deadline of the last block of all.
+    end = f"array_max(transform(src, x -> (((x._mix_n + {block_rows - 1}) div {block_rows}) * total + x._mix_q - 1) div x._mix_q))"
+    chunks = (
+        one.withColumn("size", F.expr(size))
+        .withColumn("m", F.explode(F.expr(f"sequence(0L, ({end} - 1) div size)")))
+        .repartition(CHUNK_TASKS, "m")
+        .withColumn("first", F.expr("m * size"))
+        .withColumn("begin", F.expr(_done("first")))
+        .withColumn("finish", F.expr(_done("(first + size)")))
+    )
+    released = "done[i] < finish[i] AND done[i] * total div src[i]._mix_q <= t"
+    deadline = "((done[i] + 1) * total + src[i]._mix_q - 1) div src[i]._mix_q"
     pick = f"array_min(transform(sequence(0, size(src) - 1), i -> CASE WHEN {released} THEN struct({deadline} AS d, i AS i) END)).i"
-    # acc.picks: the source of each slot so far; acc.done: blocks given to each source so far.
+    # acc.picks: source and block of each slot so far; acc.done: blocks given to each source so far.
     step = f"""
         aggregate(
-          sequence(0, {period} - 1),
-          named_struct('done', transform(src, x -> 0L), 'picks', CAST(array() AS ARRAY<INT>)),
+          sequence(first, first + size - 1),
+          named_struct('done', begin, 'picks', CAST(array() AS ARRAY<STRUCT<i: INT, k: BIGINT, t: BIGINT>>)),
           (acc, t) -> transform(array(transform(array(acc.done), done -> {pick})[0]), p ->
-            named_struct('done', transform(acc.done, (d, j) -> IF(j = p, d + 1, d)), 'picks', concat(acc.picks, array(p))))[0],
+            named_struct('done', transform(acc.done, (d, j) -> IF(j = p, d + 1, d)), 'picks', concat(acc.picks, array(struct(p AS i, acc.done[p] AS k, t AS t)))))[0],
           acc -> acc.picks)
     """
-    slots = one.select("src", F.expr(step).alias("picks")).select("src", F.col("picks"), F.posexplode("picks").alias("_mix_offset", "p"))
-    seen = "transform(src, (x, j) -> struct(x._mix_n AS n, x._mix_q AS q, CAST(size(filter(slice(picks, 1, _mix_offset), y -> y = j)) AS BIGINT) AS c))"
+    rows_up_to = f"least(x._mix_n, {{0}} * {block_rows})".format
+    slots = (
+        chunks.withColumn("ahead", F.expr(f"aggregate(zip_with(src, begin, (x, d) -> {rows_up_to('d')}), 0L, (n, c) -> n + c)"))
+        .withColumn("picks", F.expr(step))
+        # Slots of sources that have run out are left out.
+        .select("m", "ahead", "total", F.explode(F.expr(f"filter(transform(picks, y -> struct(src[y.i] AS x, y.k AS k, y.t AS t)), y -> y.k * {block_rows} < y.x._mix_n)")).alias("y"))
+        .select("m", "ahead", "total", "y.x", "y.k", "y.t")
+    )
+    earlier = Window.partitionBy("m").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.expr(f"least({block_rows}, x._mix_n - k * {block_rows})")
     return slots.select(
-        F.expr("src[p]._mix_source").alias("_mix_source"),
-        F.expr("CAST(size(filter(slice(picks, 1, _mix_offset), y -> y = p)) AS BIGINT)").alias("_mix_k"),
-        F.col("_mix_offset").cast("long").alias("_mix_offset"),
-        F.expr(seen).alias("_mix_before"),
+        F.col("x._mix_source").alias("_mix_source"),
+        F.col("k").alias("_mix_block"),
+        F.expr("k * total div x._mix_q").alias("_mix_release"),
+        F.expr("((k + 1) * total + x._mix_q - 1) div x._mix_q").alias("_mix_deadline"),
+        F.col("t").alias("_mix_slot"),
+        (F.col("ahead") + F.coalesce(F.sum(held).over(earlier), F.lit(0))).alias("_mix_before"),
     )
 
 
@@ -101,7 +168,7 @@ def mix_rows(
     weights: dict[str | None, float] | None = None,
     alpha: float = ALPHA,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` (or the columns ``carry`` of it) with _mix_block, _mix_release, _mix_deadline, _mix_slot and _mix_position.
@@ -111,10 +178,10 @@ def mix_rows(
     are the block's window; _mix_position numbers all rows from 0 without gaps.
 
     Rows are ranked by (source, hash range): a source with a third of all rows
-    is spread over RANGES groups.  Sources and schedule have at most ``period``
-    rows each and are broadcast.
+    is spread over RANGES groups.  The schedule has a row a block and is joined
+    by source and block.
     """
-    if block_rows < 1 or period < 1:
+    if block_rows < 1 or (period is not None and period < 1):
         raise ValueError("block_rows and period must be positive")
     added = ["_mix_block", "_mix_release", "_mix_deadline", "_mix_slot", "_mix_position"]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in added] or ["doc_id"]
@@ -137,21 +204,17 @@ def mix_rows(
     placed = (
         rows.withColumn("_mix_rank", F.row_number().over(within))
         .join(F.broadcast(offsets), ["_mix_source", "_mix_range"])
-        .join(F.broadcast(sources), "_mix_source")
         .withColumn("_mix_index", index)
         .withColumn("_mix_block", F.expr(f"_mix_index div {block_rows}"))
-        .withColumn("_mix_k", F.expr("_mix_block % _mix_q"))
-        .withColumn("_mix_period", F.expr("_mix_block div _mix_q"))
-        .join(F.broadcast(_schedule(sources, period)), ["_mix_source", "_mix_k"])
+        .join(_schedule(sources, block_rows, period), ["_mix_source", "_mix_block"])
     )
-    ahead = f"aggregate(_mix_before, 0L, (s, x) -> s + least(x.n, (_mix_period * x.q + x.c) * {block_rows}))"
     return placed.select(
         *[F.col(f"_mix_row.`{c}`") for c in carried],
         "_mix_block",
-        F.expr(f"_mix_block * {period} div _mix_q").alias("_mix_release"),
-        F.expr(f"((_mix_block + 1) * {period} + _mix_q - 1) div _mix_q").alias("_mix_deadline"),
-        (F.col("_mix_period") * period + F.col("_mix_offset")).alias("_mix_slot"),
-        F.expr(f"{ahead} + _mix_index % {block_rows}").cast("long").alias("_mix_position"),
+        "_mix_release",
+        "_mix_deadline",
+        "_mix_slot",
+        F.expr(f"_mix_before + _mix_index % {block_rows}").cast("long").alias("_mix_position"),
     )
 
 

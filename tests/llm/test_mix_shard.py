@@ -1,5 +1,6 @@
 import random
 import zlib
+from fractions import Fraction
 
 import pytest
 
@@ -59,6 +60,31 @@ def test_less_than_one_block_of_deviation(spark):
         assert all(abs(done[s] - q[s] * t / 100) < 1 for s in w)
 
 
+@pytest.mark.parametrize("w", [{"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.6, "b": 0.399, "c": 0.001}, {"a": 17, "b": 12, "c": 3}])
+def test_less_than_one_block_from_the_given_weights(spark, w):
+    df = spark.range(30000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "CASE WHEN id < 18000 THEN 'a' WHEN id < 29997 THEN 'b' ELSE 'c' END AS source", "1L AS n_chars")
+    rows = mix_rows(df, w, block_rows=5).select("source", "_mix_block", "_mix_release", "_mix_deadline", "_mix_slot", "_mix_position").collect()
+    assert sorted(x._mix_position for x in rows) == list(range(30000))
+    blocks = {x._mix_slot: x for x in rows}
+    total = sum(Fraction(str(x)) for x in w.values())
+    share = {s: Fraction(str(x)) / total for s, x in w.items()}
+    for x in blocks.values():
+        k, p = x._mix_block, share[x.source]
+        assert (x._mix_release, x._mix_deadline) == (k // p, -(-(k + 1) // p)) and x._mix_release <= x._mix_slot < x._mix_deadline
+    last = min(max(x._mix_slot for x in blocks.values() if x.source == s) for s in w)
+    done = dict.fromkeys(w, 0)
+    for t in range(last + 1):
+        done[blocks[t].source] += 1
+        assert all(abs(done[s] - share[s] * (t + 1)) < 1 for s in w)
+
+
+def test_more_sources_than_a_thousand(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "CASE WHEN id < 3600 THEN 'hot' ELSE concat('s', id % 1200) END AS source", "1L AS n_chars")
+    got = mix_rows(df, block_rows=2).select("_mix_release", "_mix_slot", "_mix_deadline", "_mix_position").collect()
+    assert sorted(x._mix_position for x in got) == list(range(6000))
+    assert all(x._mix_release <= x._mix_slot < x._mix_deadline for x in got)
+
+
 def test_mixing_edges(spark):
     df = documents(spark)
     assert mix_rows(df.limit(0)).count() == 0
