@@ -13,9 +13,16 @@ the worklist, until nothing new decodes:
 A layer knows where each of its characters comes from, so a secret found at
 any depth is reported as a span of the document (code points, end exclusive).
 A layer whose text equals that of one of its ancestors is not entered again;
-so a decoding cycle ends.  A bound on what all layers of a document hold together
-(``max_expanded``) stops compression bombs and escapes nested thousands deep; a
-document that meets it is reported with ``complete`` false.
+so a decoding cycle ends.
+
+Decompressed data are never held whole: they are scanned in pieces that end at a
+character which no secret and no encoded run can hold, so nothing is cut.  All
+layers that need no decompression come first, then each compressed run of them
+with a bound of its own (``STREAM_X``): at the first depth no gzip or zlib data can
+meet it.  Bounds that remain stop compression bombs, escapes nested thousands deep
+and pieces without an end (``max_expanded``).  Each holds for one encoded run of
+the text, so that no run takes from another; a document that meets one is reported
+with ``complete`` false, and redaction marks all of that run.
 
 Cases: a null text counts as empty; a text without secrets has empty ``spans``;
 long texts are scanned whole; repeated rows are scanned each; an empty table
@@ -40,8 +47,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-#: What the layers of one document may hold together: so much, or so many times the text if that is more.
+#: What the layers under one encoded run may hold together: so much, or so many times the text if that is more.  A piece of decompressed data may be as long.
 MAX_EXPANDED, EXPANDED_X = 64 << 20, 16
+#: What a compressed run and all under it may hold together: so many MAX_EXPANDED, or so many times the run (deflate reaches 1032).
+STREAMS, STREAM_X = 16, 1100
+#: Bytes that are decompressed at once, and that are scanned again where a piece has no end.
+BLOCK, OVERLAP = 1 << 20, 1 << 12
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_PARTS = ("passw", "secret", "token", "apikey", "api_key")
@@ -50,6 +61,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Bytes that a match of the patterns above can hold, or a character of more bytes.
+_INSIDE = bytes(i for i in range(256) if i > 127 or chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"':%\\{} ")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -193,88 +206,210 @@ class _Budget:
     def __init__(self, left: int):
         self.left, self.met = left, False
 
+    def take(self, n: int) -> bool:
+        if n > self.left:
+            self.met = True
+            return False
+        self.left -= n
+        return True
+
 
-def _unpack(data: bytes, budget: _Budget) -> bytes | None:
-    """Decompress data that begins like gzip, zlib, bzip2 or xz."""
+def _unpacker(data: bytes):
+    """What decompresses data that begin like gzip, zlib, bzip2 or xz."""
     if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        unpacker = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        unpacker = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpacker = lzma.LZMADecompressor()
-    else:
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+_BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
+
+
+def _blocks(data: bytes) -> Iterator[bytes]:
+    """The decompressed data, BLOCK bytes at most at once; raises one of _BROKEN."""
+    unpacker = _unpacker(data)
+    for i in range(0, len(data), 1 << 16):
+        rest = data[i : i + (1 << 16)]
+        while not unpacker.eof:
+            out = unpacker.decompress(rest, BLOCK)
+            if out:
+                yield out
+            rest = getattr(unpacker, "unconsumed_tail", b"")
+            if not rest and len(out) < BLOCK and getattr(unpacker, "needs_input", True):
+                break
+
+
+def _pieces(data: bytes, longest: int, budget: _Budget) -> Iterator[bytes]:
+    """The decompressed data in pieces that end where no secret and no encoded run can go on."""
+    held: list[bytes] = []
+    size = 0
+    for block in _blocks(data):
+        if not budget.take(len(block)):
+            break
+        end = len(block.rstrip(_INSIDE)) if size + len(block) >= min(BLOCK, longest) else 0
+        held.append(block[:end] if end else block)
+        size += len(held[-1])
+        if not end and size > longest:
+            budget.met, end = True, len(block)
+            piece = b"".join(held)
+            yield piece
+            held, size = [piece[-OVERLAP:]], OVERLAP
+        elif end:
+            yield b"".join(held)
+            held, size = [block[end:]], len(block) - end
+    if size:
+        yield b"".join(held)
+
+
+@dataclass
+class _Packed:
+    """A base64 run of compressed data."""
+
+    layer: Layer
+    start: int
+    end: int
+
+
+def _base64_data(run: str) -> bytes | None:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
         return None
+
+
+def _text_layer(layer: Layer, first: int, last: int, data: bytes) -> Layer | None:
+    """The layer of a base64 run whose bytes are text."""
     try:
-        out = unpacker.decompress(data, budget.left + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if not text or _CONTROL.search(text):
         return None
-    if len(out) > budget.left:
-        budget.met = True
-        out = out[: budget.left]
-    budget.left -= len(out)
-    return out
+    pieces = _utf8_pieces(data, lambda b: (first + b // 3 * 4 + b % 3, first + b // 3 * 4 + b % 3 + 2))
+    ends = [x[2] for x in pieces]
+    ends[-1] = last
+    return Layer(text, layer, _digest(text), list(range(len(pieces))), [x[1] for x in pieces], ends, [False] * len(pieces), True)
 
 
-def _base64_layers(layer: Layer, budget: _Budget) -> Iterator[Layer]:
+def _base64_layers(layer: Layer) -> Iterator[Layer | _Packed]:
     for m in _BASE64.finditer(layer.text):
-        run, first = m[0], m.start()
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
+        data = _base64_data(m[0])
+        if data is None:
             continue
-        unpacked = _unpack(data, budget)
-        if unpacked is not None:
-            data = unpacked
+        unpacker = _unpacker(data)
+        if unpacker is not None:
             try:
-                text = data.decode("utf-8", "ignore" if budget.met else "strict")
-            except UnicodeDecodeError:
-                text = data.decode("latin-1")
-            if text:
-                yield Layer(text, layer, _digest(text), [0], [first], [m.end()], [False], True)
-            continue
+                unpacker.decompress(data[: 1 << 16], 1)
+                yield _Packed(layer, m.start(), m.end())
+                continue
+            except _BROKEN:
+                pass
+        x = _text_layer(layer, m.start(), m.end(), data)
+        if x is not None:
+            yield x
+
+
+def _below(layer: Layer) -> Iterator[Layer | _Packed]:
+    """What decodes in a layer, one after the other."""
+    found: Layer | None
+    if "%" in layer.text and (found := _escaped(layer, _URL, _url)) is not None:
+        yield found
+    if "\\" in layer.text and (found := _escaped(layer, _UNICODE, _unicode)) is not None:
+        yield found
+    yield from _base64_layers(layer)
+
+
+class _Scan:
+    """Spans, decoded layers, and the spans of encoded runs that met a bound."""
+
+    def __init__(self, text: str, max_expanded: int):
+        self.base = base_spans(text)
+        self.every = set(self.base)
+        self.unread: list[tuple[int, int]] = []
+        self.layers = 0
+        self.longest = max_expanded
+        packed: list[_Packed] = []
+        root = _root(text)
+        for x in _below(root):
+            if isinstance(x, _Packed):
+                packed.append(x)
+            elif not root.seen(x.digest):
+                budget = _Budget(max(max_expanded, EXPANDED_X * len(text)))
+                if budget.take(len(x.text)):
+                    self._settle(x, budget, packed)
+                if budget.met:
+                    self._leave(x)
+        for x in packed:
+            budget = _Budget(max(STREAMS * max_expanded, STREAM_X * (x.end - x.start)))
+            self._unpack(x, budget)
+
+    def _leave(self, x: Layer) -> None:
+        at = [i for i, plain in enumerate(x.plain) if not plain]
+        self.unread.append(x.parent.up(x.origin[at[0]], x.ends[at[-1]]))
+
+    def _settle(self, first: Layer, budget: _Budget, packed: list[_Packed]) -> None:
+        """Scan a layer and all that decodes in it but compressed data, which go to ``packed``."""
+        work = [first]
+        while work:
+            layer = work.pop()
+            self._found(layer)
+            self.layers += 1
+            for x in _below(layer):
+                if isinstance(x, _Packed):
+                    packed.append(x)
+                elif not layer.seen(x.digest) and budget.take(len(x.text)):
+                    work.append(x)
+
+    def _found(self, layer: Layer) -> None:
+        for start, kind, end in base_spans(layer.text):
+            if layer.whole or layer.touches(start, end):
+                s, e = layer.up(start, end)
+                self.every.add((s, kind, e))
+
+    def _unpack(self, x: _Packed, budget: _Budget) -> None:
+        data = _base64_data(x.layer.text[x.start : x.end])
+        began = self.layers
         try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or _CONTROL.search(text):
-            continue
-        pieces = _utf8_pieces(data, lambda b, first=first: (first + b // 3 * 4 + b % 3, first + b // 3 * 4 + b % 3 + 2))
-        ends = [x[2] for x in pieces]
-        ends[-1] = m.end()
-        yield Layer(text, layer, _digest(text), list(range(len(pieces))), [x[1] for x in pieces], ends, [False] * len(pieces), True)
+            for piece in _pieces(data, self.longest, budget):
+                try:
+                    text = piece.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = piece.decode("latin-1")
+                layer = Layer(text, x.layer, _digest(text), [0], [x.start], [x.end], [False], True)
+                if x.layer.seen(layer.digest):
+                    continue
+                before, packed = self.layers, []
+                self._settle(layer, budget, packed)
+                # All pieces of a run are one layer.
+                self.layers -= before > began
+                for y in packed:
+                    # Half of what is left, so that it leaves something to what comes after.
+                    part = _Budget(budget.left // 2)
+                    had = part.left
+                    self._unpack(y, part)
+                    budget.left -= had - part.left
+                    budget.met |= part.met
+        except _BROKEN:
+            other = _text_layer(x.layer, x.start, x.end, data)
+            if other is not None and not x.layer.seen(other.digest) and budget.take(len(other.text)):
+                packed = []
+                self._settle(other, budget, packed)
+                for y in packed:
+                    self._unpack(y, budget)
+        if budget.met:
+            self.unread.append(x.layer.up(x.start, x.end))
 
 
 def scan(text: str | None, max_expanded: int = MAX_EXPANDED) -> tuple[list[Span], list[Span], int, bool]:
     """(base spans, all spans, decoded layers, complete) of one text."""
-    text = text or ""
-    base = base_spans(text)
-    every = set(base)
-    budget = _Budget(max(max_expanded, EXPANDED_X * len(text)))
-    work, layers = [_root(text)], 0
-    while work:
-        layer = work.pop()
-        if layer.parent is not None:
-            layers += 1
-            for start, kind, end in base_spans(layer.text):
-                if layer.whole or layer.touches(start, end):
-                    s, e = layer.up(start, end)
-                    every.add((s, kind, e))
-        below: list[Layer | None] = []
-        if "%" in layer.text:
-            below.append(_escaped(layer, _URL, _url))
-        if "\\" in layer.text:
-            below.append(_escaped(layer, _UNICODE, _unicode))
-        for x in (*below, *_base64_layers(layer, budget)):
-            if x is not None and not layer.seen(x.digest):
-                if len(x.text) > budget.left:
-                    budget.met = True
-                else:
-                    budget.left -= len(x.text)
-                    work.append(x)
-    return base, sorted(every), layers, not budget.met
+    done = _Scan(text or "", max_expanded)
+    return done.base, sorted(done.every), done.layers, not done.unread
 
 
 def _joined(spans: list[Span]) -> str:
@@ -311,11 +446,15 @@ def scan_documents(docs: DataFrame, max_expanded: int = MAX_EXPANDED) -> DataFra
 
 
 def redact(text: str | None, mark: str = "[SECRET]", max_expanded: int = MAX_EXPANDED) -> str | None:
-    """The text with every span, decoded ones included, replaced by a mark; touching spans become one."""
+    """The text with every span, decoded ones included, replaced by a mark; touching spans become one.
+
+    Encoded runs that met a bound were not read to their end and are replaced whole.
+    """
     if not text:
         return text
     out, at = [], 0
-    _, spans, _, _ = scan(text, max_expanded)
+    done = _Scan(text, max_expanded)
+    spans = sorted(done.every | {(start, len(KINDS), end) for start, end in done.unread})
     i = 0
     while i < len(spans):
         start, end = spans[i][0], spans[i][2]

@@ -1,12 +1,14 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 from urllib.parse import quote
 
 import pytest
 
-from runmill.llm.secret_scan import base_spans, redact, redact_documents, scan, scan_documents
+from runmill.llm.secret_scan import BLOCK, base_spans, redact, redact_documents, scan, scan_documents
 
 KEY = "AKIA" + "Q" * 16
 ROWS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,6 +63,31 @@ def test_cycles_and_bombs_end():
     assert (0, 0) in {s[:2] for s in scan(deep)[1]} and scan("%" + "25" * 40_000)[3] is False
 
 
+def test_large_payloads_are_scanned_to_their_end():
+    b64 = lambda x: base64.b64encode(x).decode()
+    limit = 1 << 18
+    log = b"".join(b"line %d of the log, well\n" % i for i in range(120_000))  # 3 MB, many times the limit
+    late = b64(gzip.compress(log + b"token=abcdefgh\n" + b64(gzip.compress(b"x " + KEY.encode())).encode() + b"\n" + log))
+    for text in (late, b64(bz2.compress(log + b"token=abcdefgh " + KEY.encode())), b64(lzma.compress(log + b"token=abcdefgh " + KEY.encode()))):
+        _, spans, layers, complete = scan("a " + text, limit)
+        assert complete and {s for s in spans if s[1] < 2} >= {(2, 0, 2 + len(text)), (2, 1, 2 + len(text))} and layers <= 2
+    # Secrets at every place of a piece's end.
+    for pad in range(0, 40, 3):
+        text = b64(gzip.compress(b"\n" + b"a b " * ((BLOCK - 40) // 4) + b" " * pad + b"\ntoken = abcdefgh\n" + b"c\n" * 50))
+        assert scan(text)[1:] == ([(0, 0, len(text))], 1, True)
+
+
+def test_a_bomb_takes_from_no_other_layer():
+    b64 = lambda x: base64.b64encode(x).decode()
+    bomb = b64(gzip.compress(b"z" * 3_000_000))
+    small, url = b64(b"some text " + KEY.encode()), quote("passwd:hunter22", safe="").replace("u", "%75")
+    text = f"{bomb} {small} {url} {b64(gzip.compress(b'x token=abcdefgh'))} end"
+    _, spans, _, complete = scan(text, 1 << 20)
+    assert not complete and sorted(k for _, k, _ in spans if k < 2) == [0, 0, 1]
+    clean = redact(text, max_expanded=1 << 20)
+    assert clean.startswith("[SECRET]") and clean.endswith(" end") and bomb not in clean and "hunter" not in clean and redact(text).startswith(bomb)
+
+
 def test_base_spans_stay():
     text = f"secret: 'abcdef' {KEY} " + quote("password=hunter22")
     base, spans, *_ = scan(text)
