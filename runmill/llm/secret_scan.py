@@ -4,16 +4,23 @@ A document's text is the first layer.  Every layer is scanned for the three
 kinds of secrets and for encoded content; what decodes becomes a new layer on
 the worklist, until nothing new decodes:
 
-* URL escapes (``%41``) and Unicode escapes (``\\u0041``, ``\\x41``,
-  ``\\u{41}``): the whole layer with all escapes of that sort replaced;
-* base64 runs (either alphabet, 16 characters and more) whose bytes are UTF-8
-  text without control characters, or compressed data;
-* gzip, zlib, bzip2 and xz data found in base64.
+* escapes: URL (``%41``) and Unicode ones (``\\u0041``, ``\\x41``,
+  ``\\u{41}``), and in decoded layers text of two bytes a character; all escapes
+  of a layer are replaced at once, so a layer has one such layer below it, and
+  mixed levels don't multiply;
+* base64 runs (either alphabet, 16 characters and more), also wrapped in lines,
+  at each of the four places where a group may begin, since a run can be glued
+  to a path or a name before it;
+* gzip (with all its members), zlib, bzip2 and xz data anywhere in a decoded
+  layer, so compressed in compressed and percent-encoded data, too.
+
+Decoded layers hold a character for each byte: secrets are ASCII, so what else
+the bytes may mean doesn't matter, and text beside bytes that are none is read.
 
 A layer knows where each of its characters comes from, so a secret found at
 any depth is reported as a span of the document (code points, end exclusive).
-A layer whose text equals that of one of its ancestors is not entered again;
-so a decoding cycle ends.
+A layer is entered once: one of the same characters from the same place of the
+document, on whatever way it was reached, is known already.  So cycles end.
 
 Decompressed data are never held whole: they are scanned in pieces that end at a
 character which no secret and no encoded run can hold, so nothing is cut.  All
@@ -31,7 +38,6 @@ gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -39,8 +45,8 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +55,8 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex")
 #: What the layers under one encoded run may hold together: so much, or so many times the text if that is more.  A piece of decompressed data may be as long.
 MAX_EXPANDED, EXPANDED_X = 64 << 20, 16
+#: What a layer is charged besides its characters.
+LAYER_COST = 1 << 12
 #: What a compressed run and all under it may hold together: so many MAX_EXPANDED, or so many times the run (deflate reaches 1032).
 STREAMS, STREAM_X = 16, 1100
 #: Bytes that are decompressed at once, and that are scanned again where a piece has no end.
@@ -58,12 +66,18 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_PARTS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}")
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: The same, or a run of ASCII characters of two bytes each, low byte first or last.
+_ESCAPE_OF_BYTES = re.compile(_ESCAPE.pattern + r"|(?:[\t\n\r\x20-\x7e]\x00){4,}|(?:\x00[\t\n\r\x20-\x7e]){4,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]{16,}+)*+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)?={0,2}")
+_STANDARD = str.maketrans("-_", "+/")
+#: What a secret or anything encoded takes at least, as it stands in decoded bytes; other bytes need no layer.
+_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{12}|(?:[\x20-\x7e]\x00){12}|(?:\x00[\x20-\x7e]){12}|\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 #: Bytes that a match of the patterns above can hold, or a character of more bytes.
-_INSIDE = bytes(i for i in range(256) if i > 127 or chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"':%\\{} ")
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_INSIDE = bytes(i for i in range(256) if i > 127 or chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"':%\\{} \t\r\n\0")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -81,176 +95,253 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-@dataclass
 class Layer:
-    """A decoded text and the document span behind each of its characters.
+    """A text, and for decoded ones which span of the parent's text is behind each of its own."""
 
-    Pieces begin at ``at`` (positions in this text).  A plain piece maps
-    character by character from ``origin``; a decoded one as a unit to
-    ``origin``..``ends``, or in base64 steps of 3 bytes to 4 characters.
-    """
+    def __init__(self, text: str, parent: Layer | None = None):
+        self.text, self.parent = text, parent
+
+    def above(self, start: int, end: int) -> tuple[int, int]:
+        """The parent's span of text[start:end]."""
+        return start, end
 
-    text: str
-    parent: Layer | None
-    digest: bytes
-    at: list[int]
-    origin: list[int]
-    ends: list[int]
-    plain: list[bool]
-    whole: bool = False
+    def new(self, start: int, end: int) -> bool:
+        """Whether text[start:end] holds anything that the parent's text doesn't."""
+        return True
 
     def up(self, start: int, end: int) -> tuple[int, int]:
         """The document span of text[start:end]."""
         layer = self
         while layer.parent is not None:
-            a, b = bisect_right(layer.at, start) - 1, bisect_right(layer.at, end - 1) - 1
-            end = layer.origin[b] + (end - layer.at[b]) if layer.plain[b] else layer.ends[b]
-            start = layer.origin[a] + (start - layer.at[a] if layer.plain[a] else 0)
+            start, end = layer.above(start, end)
             layer = layer.parent
         return start, end
 
-    def touches(self, start: int, end: int) -> bool:
-        """Whether text[start:end] holds a decoded character."""
+
+class Escaped(Layer):
+    """The parent's text with its escapes replaced.
+
+    Pieces begin at ``at``; plain ones map character by character, decoded ones
+    have ``width`` source characters for each of theirs.
+    """
+
+    def __init__(self, parent: Layer, of_bytes: bool):
+        parts: list[str] = []
+        self.at: list[int] = []
+        self.origin: list[int] = []
+        self.width: list[int] = []
+        size = last = 0
+        source = parent.text
+
+        def add(text: str, origin: int, width: int) -> None:
+            nonlocal size
+            if text:
+                parts.append(text)
+                self.at.append(size)
+                self.origin.append(origin)
+                self.width.append(width)
+                size += len(text)
+
+        for m in (_ESCAPE_OF_BYTES if of_bytes else _ESCAPE).finditer(source):
+            s = m[0]
+            if "\0" in s:
+                out = s[1::2] if s[0] == "\0" else s[::2]
+            else:
+                value = int(s[1:] if s[0] == "%" else s[3:-1] if s[2] == "{" else s[2:], 16)
+                if value >= 0x110000 or 0xD800 <= value < 0xE000:
+                    continue  # Halves of a pair are no ASCII; they stay as they are written.
+                out = chr(value)
+            add(source[last : m.start()], last, 0)
+            add(out, m.start(), len(s) // len(out))
+            last = m.end()
+        if last:
+            add(source[last:], last, 0)
+        super().__init__("".join(parts), parent)
+
+    def above(self, start: int, end: int) -> tuple[int, int]:
         a, b = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
-        return not all(self.plain[a : b + 1])
+        return self.origin[a] + (start - self.at[a]) * (self.width[a] or 1), self.origin[b] + (end - self.at[b]) * (self.width[b] or 1)
 
-    def seen(self, digest: bytes) -> bool:
-        layer: Layer | None = self
-        while layer is not None:
-            if layer.digest == digest:
-                return True
-            layer = layer.parent
-        return False
+    def new(self, start: int, end: int) -> bool:
+        a, b = bisect_right(self.at, max(0, start)) - 1, bisect_right(self.at, end - 1) - 1
+        return any(self.width[a : b + 1])
 
 
-def _digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+class Decoded(Layer):
+    """The bytes of a base64 run: three of them for four of the characters at ``places``."""
 
+    def __init__(self, parent: Layer, data: bytes, places: range | list[int], end: int):
+        super().__init__(data.decode("latin-1"), parent)
+        self.data, self.places, self.end = data, places, end
 
-def _root(text: str) -> Layer:
-    return Layer(text, None, _digest(text), [0], [0], [len(text)], [True])
+    def above(self, start: int, end: int) -> tuple[int, int]:
+        first, last = self.places[start // 3 * 4 + start % 3], (end - 1) // 3 * 4 + (end - 1) % 3 + 1
+        return first, self.end if end == len(self.text) else self.places[last] + 1
 
+    @property
+    def plain(self) -> bool:
+        """Whether the bytes are UTF-8 without control characters."""
+        if _CONTROL.search(self.data):
+            return False
+        try:
+            self.data.decode("utf-8")
+        except UnicodeDecodeError:
+            return False
+        return True
 
-def _escaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every match of a pattern decoded; None if none decodes."""
-    parts: list[str] = []
-    at: list[int] = []
-    origin: list[int] = []
-    ends: list[int] = []
-    plain: list[bool] = []
-    size = last = 0
 
-    def add(text: str, start: int, end: int, is_plain: bool) -> None:
-        nonlocal size
-        if text:
-            parts.append(text)
-            at.append(size)
-            origin.append(start)
-            ends.append(end)
-            plain.append(is_plain)
-            size += len(text)
+class Unpacked(Layer):
+    """A piece of what the compressed data at start..end of the parent's text hold."""
 
-    for m in pattern.finditer(layer.text):
-        pieces = decode(m)
-        if pieces:
-            add(layer.text[last : m.start()], last, m.start(), True)
-            for text, start, end in pieces:
-                add(text, start, end, False)
-            last = m.end()
-    if not last:
-        return None
-    add(layer.text[last:], last, len(layer.text), True)
-    text = "".join(parts)
-    return Layer(text, layer, _digest(text), at, origin, ends, plain)
+    def __init__(self, parent: Layer, text: str, start: int, end: int):
+        super().__init__(text, parent)
+        self.start, self.end = start, end
 
+    def above(self, start: int, end: int) -> tuple[int, int]:
+        return self.start, self.end
 
-def _utf8_pieces(data: bytes, unit_at) -> list[tuple[str, int, int]] | None:
-    """Characters of UTF-8 data with the source span of their bytes; None if it isn't UTF-8."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    pieces, b = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        pieces.append((c, unit_at(b)[0], unit_at(b + n - 1)[1]))
-        b += n
-    return pieces
-
-
-def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
-    data, first = bytes.fromhex(m[0].replace("%", "")), m.start()
-    return _utf8_pieces(data, lambda b: (first + 3 * b, first + 3 * b + 3))
-
-
-def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
-    s, first = m[0], m.start()
-    if s[1] == "x":
-        return [(chr(int(s[2:], 16)), first, m.end())]
-    if s[2] == "{":
-        value = int(s[3:-1], 16)
-        return [(chr(value), first, m.end())] if value < 0x110000 and not 0xD800 <= value < 0xE000 else None
-    units = [int(s[i + 2 : i + 6], 16) for i in range(0, len(s), 6)]
-    pieces, i = [], 0
-    while i < len(units):
-        u, n = units[i], 1
-        if 0xD800 <= u < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000:
-            u, n = 0x10000 + ((u - 0xD800) << 10) + units[i + 1] - 0xDC00, 2
-        # A lone surrogate stays as it is written.
-        pieces.append((s[6 * i : 6 * i + 6] if 0xD800 <= u < 0xE000 else chr(u), first + 6 * i, first + 6 * (i + n)))
-        i += n
-    return pieces
+
+def _decoded(layer: Layer, chars: str, places: range | list[int], end: int) -> Iterator[Decoded]:
+    """A run's bytes from each of the places where a group may begin, up to one that gives text or compressed data."""
+    for skip in range(min(4, len(chars) - 1)):
+        body = chars[skip : len(chars) - (len(chars) - skip) % 4]
+        rest = (len(chars) - skip) % 4
+        if rest > 1:
+            body += chars[len(chars) - rest :] + "A" * (4 - rest)
+        data = binascii.a2b_base64(body)
+        if rest > 1:
+            data = data[: rest - 4]
+        if _WORTH.search(data):
+            found = Decoded(layer, data, places[skip:], end)
+            yield found
+            if found.plain or _begins(memoryview(data)):
+                return
+
+
+def _base64_layers(layer: Layer) -> Iterator[Decoded]:
+    text = layer.text
+    for m in _BASE64.finditer(text):
+        if layer.new(m.start() - 1, m.end() + 1):
+            run = m[0].rstrip("=")
+            yield from _decoded(layer, run.translate(_STANDARD), range(m.start(), m.start() + len(run)), m.end())
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            if "\n" in m[0] and layer.new(m.start() - 1, m.end() + 1):
+                places = [i for i in range(m.start(), m.end()) if text[i] not in "\r\n\t ="]
+                yield from _decoded(layer, "".join([text[i] for i in places]).translate(_STANDARD), places, m.end())
 
 
 class _Budget:
-    def __init__(self, left: int):
-        self.left, self.met = left, False
+    """What may still be expanded; what a part of it takes counts for the whole, too."""
+
+    def __init__(self, left: int, whole: _Budget | None = None):
+        self.left, self.whole, self.met = left, whole, False
 
     def take(self, n: int) -> bool:
         if n > self.left:
-            self.met = True
+            b: _Budget | None = self
+            while b is not None:
+                b.met, b = True, b.whole
             return False
-        self.left -= n
+        b = self
+        while b is not None:
+            b.left, b = b.left - n, b.whole
         return True
 
+    def half(self, _: int) -> _Budget:
+        return _Budget(self.left // 2, self)
 
-def _unpacker(data: bytes):
+
+def _unpacker(data: bytes | memoryview):
     """What decompresses data that begin like gzip, zlib, bzip2 or xz."""
     if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
         return zlib.decompressobj(47)
     if data[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor()
+        return lzma.LZMADecompressor(memlimit=256 << 20)
     return None
 
 
 _BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
 
 
-def _blocks(data: bytes) -> Iterator[bytes]:
-    """The decompressed data, BLOCK bytes at most at once; raises one of _BROKEN."""
+def _begins(data: memoryview) -> bool:
+    """Whether compressed data begin here: so they do if some of them decompress."""
     unpacker = _unpacker(data)
-    for i in range(0, len(data), 1 << 16):
-        rest = data[i : i + (1 << 16)]
-        while not unpacker.eof:
-            out = unpacker.decompress(rest, BLOCK)
-            if out:
-                yield out
-            rest = getattr(unpacker, "unconsumed_tail", b"")
-            if not rest and len(out) < BLOCK and getattr(unpacker, "needs_input", True):
+    try:
+        return unpacker is not None and (bool(unpacker.decompress(data[:4096], 64)) or unpacker.eof or (len(data) > 4096 and bool(unpacker.decompress(data[4096 : 1 << 20], 64))))
+    except _BROKEN:
+        return False
+
+
+class _Stream:
+    """Compressed data at the beginning of ``data``, all members of them."""
+
+    def __init__(self, data: memoryview):
+        self.data = data
+        #: Bytes that belong to the members that are through; whether the data end inside of a member.
+        self.used, self.open = 0, False
+
+    def blocks(self) -> Iterator[bytes]:
+        """The decompressed data, BLOCK bytes at most at once; they end where the data are broken."""
+        while self.used < len(self.data):
+            rest = self.data[self.used :]
+            if self.used and not _begins(rest):
+                return
+            unpacker = _unpacker(rest)
+            try:
+                for i in range(0, len(rest), 1 << 16):
+                    more: bytes | memoryview = rest[i : i + (1 << 16)]
+                    while not unpacker.eof:
+                        out = unpacker.decompress(more, BLOCK)
+                        if out:
+                            yield out
+                        more = getattr(unpacker, "unconsumed_tail", b"")
+                        if not more and len(out) < BLOCK and getattr(unpacker, "needs_input", True):
+                            break
+                    if unpacker.eof:
+                        self.used += min(i + (1 << 16), len(rest)) - len(unpacker.unused_data)
+                        break
+                else:
+                    self.open = True
+                    return
+            except _BROKEN:
+                return
+
+    def length(self, limit: int) -> int:
+        """Bytes that the compressed data take; all there are if they end early, are broken or hold more than ``limit``."""
+        for block in self.blocks():
+            limit -= len(block)
+            if limit < 0:
+                self.open = True
                 break
+        return len(self.data) if self.open or not self.used else self.used
 
 
-def _pieces(data: bytes, longest: int, budget: _Budget) -> Iterator[bytes]:
-    """The decompressed data in pieces that end where no secret and no encoded run can go on."""
+def _open(piece: bytes) -> bool:
+    """Whether compressed data begin in a piece that go on behind it."""
+    view = memoryview(piece)
+    for m in _PACKED.finditer(piece):
+        if _begins(view[m.start() :]):
+            stream = _Stream(view[m.start() :])
+            stream.length(MAX_EXPANDED)
+            if stream.open:
+                return True
+    return False
+
+
+def _pieces(data: memoryview, longest: int, budget: _Budget) -> Iterator[bytes]:
+    """The decompressed data in pieces that end where nothing that is looked for can go on."""
     held: list[bytes] = []
     size = 0
-    for block in _blocks(data):
+    for block in _Stream(data).blocks():
         if not budget.take(len(block)):
             break
         end = len(block.rstrip(_INSIDE)) if size + len(block) >= min(BLOCK, longest) else 0
         held.append(block[:end] if end else block)
+        if end and size < longest and _open(b"".join(held)):
+            held[-1], end = block, 0
         size += len(held[-1])
         if not end and size > longest:
             budget.met, end = True, len(block)
@@ -264,67 +355,6 @@ def _pieces(data: bytes, longest: int, budget: _Budget) -> Iterator[bytes]:
         yield b"".join(held)
 
 
-@dataclass
-class _Packed:
-    """A base64 run of compressed data."""
-
-    layer: Layer
-    start: int
-    end: int
-
-
-def _base64_data(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-
-
-def _text_layer(layer: Layer, first: int, last: int, data: bytes) -> Layer | None:
-    """The layer of a base64 run whose bytes are text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or _CONTROL.search(text):
-        return None
-    pieces = _utf8_pieces(data, lambda b: (first + b // 3 * 4 + b % 3, first + b // 3 * 4 + b % 3 + 2))
-    ends = [x[2] for x in pieces]
-    ends[-1] = last
-    return Layer(text, layer, _digest(text), list(range(len(pieces))), [x[1] for x in pieces], ends, [False] * len(pieces), True)
-
-
-def _base64_layers(layer: Layer) -> Iterator[Layer | _Packed]:
-    for m in _BASE64.finditer(layer.text):
-        data = _base64_data(m[0])
-        if data is None:
-            continue
-        unpacker = _unpacker(data)
-        if unpacker is not None:
-            try:
-                unpacker.decompress(data[: 1 << 16], 1)
-                yield _Packed(layer, m.start(), m.end())
-                continue
-            except _BROKEN:
-                pass
-        x = _text_layer(layer, m.start(), m.end(), data)
-        if x is not None:
-            yield x
-
-
-def _below(layer: Layer) -> Iterator[Layer | _Packed]:
-    """What decodes in a layer, one after the other."""
-    found: Layer | None
-    if "%" in layer.text and (found := _escaped(layer, _URL, _url)) is not None:
-        yield found
-    if "\\" in layer.text and (found := _escaped(layer, _UNICODE, _unicode)) is not None:
-        yield found
-    yield from _base64_layers(layer)
-
-
 class _Scan:
     """Spans, decoded layers, and the spans of encoded runs that met a bound."""
 
@@ -334,76 +364,89 @@ class _Scan:
         self.unread: list[tuple[int, int]] = []
         self.layers = 0
         self.longest = max_expanded
-        packed: list[_Packed] = []
-        root = _root(text)
-        for x in _below(root):
-            if isinstance(x, _Packed):
-                packed.append(x)
-            elif not root.seen(x.digest):
-                budget = _Budget(max(max_expanded, EXPANDED_X * len(text)))
-                if budget.take(len(x.text)):
-                    self._settle(x, budget, packed)
-                if budget.met:
-                    self._leave(x)
-        for x in packed:
-            budget = _Budget(max(STREAMS * max_expanded, STREAM_X * (x.end - x.start)))
-            self._unpack(x, budget)
-
-    def _leave(self, x: Layer) -> None:
-        at = [i for i, plain in enumerate(x.plain) if not plain]
-        self.unread.append(x.parent.up(x.origin[at[0]], x.ends[at[-1]]))
-
-    def _settle(self, first: Layer, budget: _Budget, packed: list[_Packed]) -> None:
-        """Scan a layer and all that decodes in it but compressed data, which go to ``packed``."""
-        work = [first]
+        self.known: set[tuple[bytes, int, int]] = set()
+        self.packed: deque[tuple[Layer, bytes, int]] = deque()
+        root = Layer(text)
+        for x in self._below(root):
+            budget = _Budget(max(max_expanded, EXPANDED_X * len(text)))
+            self._settle(x, budget)
+            if budget.met:
+                self.unread.append(x.up(0, len(x.text)) if isinstance(x, Decoded) else _changed(x))
+        for layer, raw, at in self._drained():
+            self._unpack(layer, raw, at, lambda size: _Budget(max(STREAMS * max_expanded, STREAM_X * size)))
+
+    def _below(self, layer: Layer) -> Iterator[Layer]:
+        """What decodes in a layer, but for compressed data."""
+        of_bytes = layer.parent is not None
+        if "%" in layer.text or "\\" in layer.text or (of_bytes and "\0" in layer.text):
+            found = Escaped(layer, of_bytes)
+            if found.text:
+                yield found
+        yield from _base64_layers(layer)
+
+    def _settle(self, first: Layer, budget: _Budget) -> None:
+        """Scan a layer and all that decodes in it; where compressed data begin goes to ``packed``."""
+        work = deque([first])
         while work:
-            layer = work.pop()
-            self._found(layer)
-            self.layers += 1
-            for x in _below(layer):
-                if isinstance(x, _Packed):
-                    packed.append(x)
-                elif not layer.seen(x.digest) and budget.take(len(x.text)):
-                    work.append(x)
-
-    def _found(self, layer: Layer) -> None:
-        for start, kind, end in base_spans(layer.text):
-            if layer.whole or layer.touches(start, end):
+            layer = work.popleft()
+            key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.up(0, len(layer.text)))
+            if key in self.known:
+                continue
+            if not budget.take(len(layer.text) + LAYER_COST):
+                return
+            self.known.add(key)
+            before = len(self.every)
+            for start, kind, end in base_spans(layer.text):
                 s, e = layer.up(start, end)
                 self.every.add((s, kind, e))
-
-    def _unpack(self, x: _Packed, budget: _Budget) -> None:
-        data = _base64_data(x.layer.text[x.start : x.end])
-        began = self.layers
-        try:
-            for piece in _pieces(data, self.longest, budget):
-                try:
-                    text = piece.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = piece.decode("latin-1")
-                layer = Layer(text, x.layer, _digest(text), [0], [x.start], [x.end], [False], True)
-                if x.layer.seen(layer.digest):
-                    continue
-                before, packed = self.layers, []
-                self._settle(layer, budget, packed)
+            raw = layer.data if isinstance(layer, Decoded) else layer.text.encode("latin-1", "replace")
+            at = self._next(layer, raw, 0)
+            if at >= 0:
+                self.packed.append((layer, raw, at))
+            if isinstance(layer, Escaped) or (isinstance(layer, Decoded) and (len(self.every) > before or (at < 0 and layer.plain))):
+                self.layers += 1
+            work.extend(self._below(layer))
+
+    def _next(self, layer: Layer, raw: bytes, at: int) -> int:
+        """Where compressed data begin in a layer's bytes, from ``at`` on; -1 if nowhere."""
+        view = memoryview(raw)
+        for m in _PACKED.finditer(raw, at):
+            if layer.new(m.start(), m.start() + 2) and _begins(view[m.start() :]):
+                return m.start()
+        return -1
+
+    def _drained(self) -> Iterator[tuple[Layer, bytes, int]]:
+        while self.packed:
+            yield self.packed.popleft()
+
+    def _unpack(self, layer: Layer, raw: bytes, at: int, budget_of: Callable[[int], _Budget]) -> None:
+        """Scan all compressed data of a layer, from those at ``at`` on."""
+        while at >= 0:
+            data = memoryview(raw)[at:]
+            budget = budget_of(len(data))
+            stream = _Stream(data)
+            size = stream.length(budget.left)
+            outer, self.packed, counted = self.packed, deque(), False
+            for piece in _pieces(data[:size], self.longest, budget):
+                known = len(self.known)
+                self._settle(Unpacked(layer, piece.decode("latin-1"), at, at + size), budget)
                 # All pieces of a run are one layer.
-                self.layers -= before > began
-                for y in packed:
+                if not counted and len(self.known) > known:
+                    self.layers, counted = self.layers + 1, True
+                for inner in self._drained():
                     # Half of what is left, so that it leaves something to what comes after.
-                    part = _Budget(budget.left // 2)
-                    had = part.left
-                    self._unpack(y, part)
-                    budget.left -= had - part.left
-                    budget.met |= part.met
-        except _BROKEN:
-            other = _text_layer(x.layer, x.start, x.end, data)
-            if other is not None and not x.layer.seen(other.digest) and budget.take(len(other.text)):
-                packed = []
-                self._settle(other, budget, packed)
-                for y in packed:
-                    self._unpack(y, budget)
-        if budget.met:
-            self.unread.append(x.layer.up(x.start, x.end))
+                    self._unpack(*inner, budget.half)
+            self.packed = outer
+            if budget.met:
+                self.unread.append(layer.up(at, at + size))
+            at = self._next(layer, raw, at + (size if stream.open or stream.used else 2))
+
+
+def _changed(x: Escaped) -> tuple[int, int]:
+    """The document span of all that an escape layer decoded."""
+    at = [i for i, w in enumerate(x.width) if w]
+    end = x.at[at[-1] + 1] if at[-1] + 1 < len(x.at) else len(x.text)
+    return x.up(x.at[at[0]], end)
 
 
 def scan(text: str | None, max_expanded: int = MAX_EXPANDED) -> tuple[list[Span], list[Span], int, bool]:

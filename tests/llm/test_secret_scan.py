@@ -3,7 +3,10 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
+import time
+import zlib
 from urllib.parse import quote
 
 import pytest
@@ -112,3 +115,105 @@ def test_redaction(spark):
     got = redact_documents(df).orderBy("doc_id").collect()
     assert redact_documents(df).schema.names == df.schema.names
     assert (got[0].text, got[0].n_chars, got[1].text, got[1].n_chars) == ("a [SECRET]", 10, None, 7)
+
+
+def every_layer(chars):
+    """Spans of a text and all below it, by following every decoded copy; chars: (character, start, end) of the document."""
+    text = "".join(c for c, *_ in chars)
+    found = {(chars[s][1], k, chars[e - 1][2]) for s, k, e in plain(text)}
+    decoded = len(chars) and isinstance(chars, list) and chars is not every_layer.root
+    below, at = [], 0
+    for m in re.finditer(r"%([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", text):
+        below += [*chars[at : m.start()], (chr(int(m[1] or m[2] or m[3] or m[4], 16)), chars[m.start()][1], chars[m.end() - 1][2])]
+        at = m.end()
+    if at:
+        found |= every_layer(below + chars[at:])
+    alphabet = r"[A-Za-z0-9+/_-]"
+    runs = [(m.start(), m.end()) for m in re.finditer(alphabet + r"{16,}={0,2}", text)]
+    runs += [(m.start(), m.end()) for m in re.finditer(rf"{alphabet}{{16,}}(\r?\n[ \t]*{alphabet}{{16,}})*(\r?\n[ \t]*{alphabet}+)?={{0,2}}", text) if "\n" in m[0]]
+    for a, b in runs:
+        own = [x for x in chars[a:b] if x[0] not in "\r\n\t ="]
+        for skip in range(4):
+            rest = own[skip:]
+            rest = rest[: len(rest) - (len(rest) % 4 == 1)]
+            data = base64.b64decode("".join(c for c, *_ in rest).replace("-", "+").replace("_", "/") + "=" * (-len(rest) % 4))
+            units = [(chr(c), rest[i // 3 * 4 + i % 3][1], chars[b - 1][2] if i == len(data) - 1 else rest[i // 3 * 4 + i % 3 + 1][2]) for i, c in enumerate(data)]
+            if units:
+                found |= every_layer(units)
+            # What is all text, or compressed data, is no other text from another place.
+            if (data and not re.search(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", data) and data.decode("utf-8", "ignore").encode() == data) or data[:3] == b"\x1f\x8b\x08":
+                break
+    if decoded:
+        raw = "".join(c if ord(c) < 256 else "?" for c in text).encode("latin-1")
+        upto = 0
+        for m in re.finditer(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|x\x9c", raw):
+            rest, out = raw[m.start() :], b""
+            if m.start() < upto:
+                continue
+            try:
+                while rest[:2] in (b"\x1f\x8b", b"BZ", b"\xfd7", b"x\x9c"):
+                    unpacker = zlib.decompressobj(47) if rest[:1] in b"\x1fx" else bz2.BZ2Decompressor() if rest[:1] == b"B" else lzma.LZMADecompressor()
+                    out += unpacker.decompress(rest)
+                    rest = unpacker.unused_data
+            except Exception:  # noqa: BLE001, S110
+                pass
+            if out:
+                end = upto = len(raw) - len(rest)
+                found |= every_layer([(chr(c), chars[m.start()][1], chars[end - 1][2]) for c in out])
+    return found
+
+
+def test_spans_equal_brute_force_on_random_nestings():
+    r = random.Random(11)
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode("latin-1")).decode()
+    wraps = [
+        lambda x: b64(x), lambda x: base64.urlsafe_b64encode(x.encode("latin-1")).decode(), lambda x: b64(gzip.compress(x.encode("latin-1"), mtime=0)), lambda x: b64(zlib.compress(x.encode("latin-1"))),
+        lambda x: b64(bz2.compress(gzip.compress(x.encode("latin-1"), mtime=0))), lambda x: b64(lzma.compress(x.encode("latin-1"))), lambda x: quote(x.encode("latin-1")), lambda x: "".join(f"%{ord(c):02x}" for c in x),
+        lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: "".join(f"\\x{ord(c):02x}" if r.random() < 0.5 else c for c in x), lambda x: base64.encodebytes(x.encode("latin-1")).decode(), lambda x: "path/to-" + b64(x),
+        lambda x: "".join(f"%{b:02X}" for b in gzip.compress(x.encode("latin-1"), mtime=0)), lambda x: b64(b"\0\1\xff" + x.encode("latin-1")), lambda x: b64(gzip.compress(x[:9].encode("latin-1"), mtime=0) + gzip.compress(x[9:].encode("latin-1"), mtime=0)),
+    ]
+    deepest = 0
+    for _ in range(150):
+        text = ""
+        for _ in range(r.randint(1, 3)):
+            inner = r.choice(["token=abcdef99", f"an {KEY}", "f" * 30, "passwd: 'hunter22'", "nothing here at all"])
+            depth = r.randint(0, 4)
+            deepest = max(deepest, depth)
+            for _ in range(depth):
+                inner = r.choice(wraps)(r.choice(["", "some words ", "\xe9\n"]) + inner + r.choice(["", " and more", "\nline"]))
+            text += r.choice(["", "漢 "]) + inner + r.choice([" ", "\n", ", "])
+        every_layer.root = [(c, i, i + 1) for i, c in enumerate(text)]
+        got = scan(text)
+        assert got[1] == sorted(every_layer(every_layer.root)) and got[3], text
+    assert deepest == 4
+
+
+def test_spans_equal_brute_force_on_documents():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        every_layer.root = [(c, i, i + 1) for i, c in enumerate(text or "")]
+        assert scan(text)[1] == sorted(every_layer(every_layer.root) if text else [])
+
+
+@pytest.mark.parametrize("inner", ["gz gz", "bz gz", "members", "nul", "utf16", "glued", "dash"])
+def test_layers_that_need_a_fixpoint(inner):
+    s = b"xx token=abcdef99 yy and some more"
+    b64 = lambda x: base64.b64encode(x).decode()
+    text = {
+        "gz gz": b64(gzip.compress(gzip.compress(s))), "bz gz": b64(bz2.compress(gzip.compress(s))), "members": b64(gzip.compress(s[:8]) + gzip.compress(s[8:])),
+        "nul": b64(b"\0" + s), "utf16": b64(s.decode().encode("utf-16")), "glued": "blob/" + b64(s), "dash": "id-" + b64(s),
+    }[inner]
+    _, spans, _, complete = scan(text)
+    assert complete and [k for _, k, _ in spans] == [0]
+
+
+def test_mixed_levels_do_not_multiply():
+    for levels in (12, 200):
+        inner = "="
+        for i in range(levels):
+            inner = (f"%{ord(inner[0]):02x}" if i % 2 else f"\\u{ord(inner[0]):04x}") + inner[1:]
+        text = f"token{inner}abcdefgh{inner}"
+        began = time.perf_counter()
+        assert scan(text)[1:] == ([(0, 0, len(text))], levels, True)
+        assert time.perf_counter() - began < 2
