@@ -1,7 +1,6 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-A text of more than ``chunk_chars`` is cut into chunks that overlap to the
-right.  Chunks are pre-tokenised in parallel, each from its own first
+A text is cut into chunks that overlap to the right.  Chunks are pre-tokenised in parallel, each from its own first
 character, which may lie inside a pre-token.  The pattern looks ahead but never
 back, so from a boundary on, pre-tokens depend only on what follows: as soon as
 two neighbouring chunks share a boundary in their overlap they agree from there
@@ -13,8 +12,9 @@ Pieces are then encoded by the ranks; equal pieces have equal ids wherever they
 stand, so each chunk encodes its own pieces and the stitch selects among them.
 Decoding concatenates the raw bytes of the ids.
 
-Texts of one chunk take the same path inside one task, without a shuffle; only
-chunks of longer texts are shuffled.
+Texts of up to ``chunk_chars`` are cut into chunks of TASK_CHUNK characters, which
+are stitched inside one task, without a shuffle; only the larger chunks of longer
+texts are shuffled.  Equal chunks of repeated rows are counted before that shuffle.
 
 Cases: a null or empty text has no ids and decodes to no bytes; special-token
 strings are ordinary text; repeated rows are each encoded; an empty table gives
@@ -35,8 +35,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+#: Chunks that are shuffled, and chunks that stay in their task, and how far they overlap.
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
+TASK_CHUNK, TASK_OVERLAP = 1 << 11, 1 << 7
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 100_000
 #: Characters or ids that a worker unpacks to Python objects at a time (a longer row is one step).
@@ -74,10 +75,6 @@ class Vocabulary(dict):
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text of one chunk: each match of the pattern encoded by itself."""
-        return np.frombuffer(self._core.encode_to_tiktoken_buffer(text, set()), np.uint32).astype(np.int32)
-
     def decode(self, ids: pa.ListArray) -> Iterator[memoryview]:
         """The raw bytes of each row's ids."""
         return _joined_rows(self._raw_array, ids)
@@ -200,11 +197,11 @@ class _Shifted(str):
         return str.__getitem__(self, slice(max(0, start), key.stop))
 
 
-def encode_text(vocab: Vocabulary, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
+def encode_text(vocab: Vocabulary, text: str, chunk: int = TASK_CHUNK, overlap: int = TASK_OVERLAP) -> np.ndarray:
     """Ids of one text, by chunks."""
+    if len(text) <= chunk:
+        return np.fromiter(chain.from_iterable(map(vocab.__getitem__, vocab.pieces(text))), np.int64)
     texts: list[str] = cut(text, chunk, overlap)
-    if len(texts) == 1:
-        return vocab.encode(text).astype(np.int64)
     parts = [_encoded(vocab, x, k == len(texts) - 1) for k, x in enumerate(texts)]
     return stitch(vocab, texts, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], chunk)
 
@@ -213,7 +210,7 @@ def _encoded(vocab: Vocabulary, text: str, last: bool) -> tuple[np.ndarray, np.n
     """Settled boundaries of a chunk, ids before each, and the ids."""
     pieces = vocab.pieces(text)
     starts, kept = settled(pieces, len(text), last)
-    each = [vocab[p] for p in pieces[:kept]]
+    each = list(map(vocab.__getitem__, pieces[:kept]))
     counts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))))
     return starts, counts, np.fromiter(chain.from_iterable(each), np.int64, int(counts[-1]))
 
@@ -230,47 +227,47 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
         vocab = vocabulary(path, pattern)
         for batch in batches:
             for part in steps(batch, pc.binary_length(batch.column(1))):
-                got = [vocab.encode(x) for x in part.column(1).to_pylist()]
+                got = [encode_text(vocab, x, min(TASK_CHUNK, chunk_chars), min(TASK_OVERLAP, overlap_chars)).astype(np.int32) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 parts = cut(text, chunk_chars, overlap_chars)
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([batch.column(0).slice(i, 1)] * n), pa.concat_arrays([batch.column(1).slice(i, 1)] * n), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts)],
-                    names=["doc_id", "text_hash", "k", "n", "text"],
-                )
+                keys = [pa.concat_arrays([batch.column(c).slice(i, 1)] * n) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts)], names=[*batch.schema.names[:3], "k", "n", "text"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
-            for part in steps(batch, pc.binary_length(batch.column(4))):
-                found = [_encoded(vocab, t, k == n - 1) for t, k, n in zip(*(part.column(c).to_pylist() for c in (4, 2, 3)), strict=True)]
+            for part in steps(batch, pc.binary_length(batch["text"])):
+                found = [_encoded(vocab, t, k == n - 1) for t, k, n in zip(*(part[c].to_pylist() for c in ("text", "k", "n")), strict=True)]
                 packed = [pa.array([x[j].astype(np.int32).tobytes() for x in found], pa.binary()) for j in range(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *packed], names=[*part.schema.names, "starts", "counts", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
         vocab = vocabulary(path, pattern)
-        table = table.sort_by("k")
-        at = table["k"].to_pylist()
-        copies = at.count(0)  # repeated rows bring each chunk several times
-        one = table.take(list(range(0, len(at), copies)))
+        one = table.sort_by("k")
         unpack = lambda name: [np.frombuffer(x, np.int32).astype(np.int64) for x in one[name].to_pylist()]
         got = stitch(vocab, one["text"].to_pylist(), unpack("starts"), unpack("counts"), unpack("ids"), chunk_chars)
-        return pa.table({"doc_id": one["doc_id"].slice(0, 1).combine_chunks().take(pa.array([0] * copies)), "ids": pa.array([got.astype(np.int32)] * copies, pa.list_(pa.int32()))})
+        return pa.table({"doc_id": one["doc_id"].slice(0, 1), "copies": one["copies"].slice(0, 1), "ids": pa.array([got.astype(np.int32)], pa.list_(pa.int32()))})
 
     out = f"doc_id {id_type}, ids array<int>"
     near = rows.where(~long_text).mapInArrow(short, out)
+    key = f"doc_id {id_type}, text_hash long, other_hash long, k int, n int"
     far = (
         rows.where(long_text)
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        .mapInArrow(chunks, f"doc_id {id_type}, text_hash long, k int, n int, text string")
-        .repartition("doc_id", "text_hash", "k")
-        .mapInArrow(encoded, f"doc_id {id_type}, text_hash long, k int, n int, text string, starts binary, counts binary, ids binary")
-        .groupBy("doc_id", "text_hash")
-        .applyInArrow(joined, out)
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit("other"), "text").alias("other_hash"), "text")
+        .mapInArrow(chunks, f"{key}, text string")
+        # Repeated rows bring each chunk several times.
+        .groupBy("doc_id", "text_hash", "other_hash", "k", "n")
+        .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        .mapInArrow(encoded, f"{key}, text string, copies long, starts binary, counts binary, ids binary")
+        .groupBy("doc_id", "text_hash", "other_hash")
+        .applyInArrow(joined, f"doc_id {id_type}, copies long, ids array<int>")
+        .select("doc_id", "ids", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+        .drop("copy")
     )
     return near.unionByName(far)
 

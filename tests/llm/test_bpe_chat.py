@@ -45,6 +45,30 @@ def test_documents_round_trip(spark, library):
 SF = "/root/testdata/sf0.001"
 
 
+def test_most_texts_have_several_chunks(spark, library):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for how in ({}, {"chunk_chars": 300, "overlap_chars": 40}):
+        rows = docs.unionByName(docs.where("doc_id < 3"))
+        got = encode_documents(rows, PATH, P.PATTERN, **how).collect()
+        want = [(x.doc_id, library.encode_ordinary(x.text or "")) for x in rows.collect()]
+        assert sorted((x.doc_id, list(x.ids)) for x in got) == sorted(want)
+    v = vocabulary(PATH, P.PATTERN)
+    for x in docs.collect():
+        for chunk, overlap in ((60, 20), (200, 50), (2048, 128)):
+            assert encode_text(v, x.text, chunk, overlap).tolist() == library.encode_ordinary(x.text)
+    assert sum(len(x.text) > 200 for x in docs.collect()) > 0.7 * docs.count()
+
+
+def test_the_query_equals_the_library(spark, library):
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = entry.queries()["op3_bpe"](spark, SF).collect()
+    for x in got:
+        ids = library.encode_ordinary(texts[x.doc_id])
+        assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
+    assert len(got) == len(texts)
+
+
 def test_preferences_equal_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
