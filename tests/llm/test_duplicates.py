@@ -121,6 +121,8 @@ def test_substrings_equal_brute_force(spark):
         ][k]
         rows.append((i if i % 7 else None, t))
     rows += rows[:5] + [(999, " ".join(base * 20))]
+    # Windows that recur in their own text alone, near and far.
+    rows += [(1000 + k, " ".join(f"own{k}_{j % k}" for j in range(90))) for k in (1, 2, 5, 19, 27, 28, 29, 34, 35, 36, 54, 55, 56)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n", "3 AS piece")
     got = [(x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in remove_repeated(df).collect()]
     assert sorted(got, key=str) == kept_words(rows)
@@ -153,3 +155,47 @@ def test_vectors_equal_brute_force(spark):
     assert sum(x[1] for x in found) >= 0.9 * sum(n) and found == want
     assert all(x.kept == (x.vec_id == x.component_id) for x in got)
     assert link_vectors(df.limit(0)).count() == 0
+
+
+def test_levels_keep_what_is_found_twice(spark):
+    from runmill.llm.substring import _found_twice, extended, lengths
+    from runmill.llm.words import windows as window_hashes
+
+    assert lengths(35, 8) == [8, 16, 32, 35] and lengths(64, 8) == [8, 16, 32, 64] and lengths(10, 8) == [8, 10]
+    r = np.random.default_rng(4)
+    base = r.integers(1, 2**63, 400).astype(np.uint64)
+    words = []
+    for i in range(40):
+        a, n = int(r.integers(0, 300)), int(r.integers(35, 63))
+        w = base[a : a + n].copy()
+        for _ in range(int(r.integers(0, 4))):
+            w[r.integers(n)] = r.integers(1, 2**63)
+        words.append(w)
+    seen = {length: collections.Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1)) for length in (16, 32, 35)}
+    rows = [(1, j, len(w) - 34, window_hashes(w, 16).tobytes(), [(0, len(w) - 34)]) for j, w in enumerate(words)]
+    ddl = "piece long, stretch long, n int, hashes binary, alive array<struct<at: int, n: int>>"
+    state, sizes = spark.createDataFrame(rows, ddl), []
+    for length, to in ((16, 32), (32, 35), (35, 0)):
+        alive = {(x.stretch, i) for x in _found_twice(state, 35, length).collect() for a in x.alive for i in range(a["at"], a["at"] + a["n"])}
+        sizes.append(len(alive))
+        want = {(j, i) for j, w in enumerate(words) for i in range(len(w) - 34) if seen[35][tuple(w[i : i + 35])] > 1}
+        assert want <= alive and (length < 35 or want == alive)
+        # A survivor holds a window of this length that is found twice.
+        assert all(any(seen[length][tuple(words[j][k : k + length])] > 1 for k in range(i, i + 36 - length)) for j, i in alive)
+        grown = [(1, j, len(w) - 34, window_hashes(w, 16).tobytes(), [(i, 1) for i in range(len(w) - 34) if (j, i) in alive]) for j, w in enumerate(words)]
+        state = spark.createDataFrame(grown, ddl)
+        if to:
+            for a, b in ((16, 32), (32, 35)):
+                if b <= to:
+                    state = state.mapInArrow(lambda batches, a=a, b=b: (extended(x, 35, a, b) for x in batches), ddl)
+    assert sum(len(w) - 34 for w in words) >= sizes[0] >= sizes[1] >= sizes[2] > 0
+
+
+def test_hot_keys_join_as_others(spark):
+    from runmill.llm.skew import join_unique
+
+    rows = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    facts = rows.groupBy("k").count().where("k % 2 = 1").withColumnRenamed("count", "c").cache()
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, join_unique(rows, facts, ["k"], "c", how).collect()), key=str)
+        assert got == sorted(map(tuple, rows.join(facts, "k", how).collect()), key=str)
