@@ -5,7 +5,7 @@ shared checkpoint folder; nothing is collected but a count and a checksum.  Star
 pull their members to the smallest neighbour, so the number of rounds grows
 with the logarithm of the longest path.  A vertex with very many edges is
 pre-aggregated (a minimum) before the shuffle, and its edges meet that minimum
-in a join that Spark can split.
+where they are (skew.py).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runmill.llm.durable import durable
+from runmill.llm.skew import join_unique
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,8 +26,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = both.join(least, "a")
+    least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("degree")))
+    linked = join_unique(both, least, ["a"], "degree")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
