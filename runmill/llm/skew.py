@@ -24,6 +24,7 @@ def join_unique(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str,
     hot = facts.where(F.col(weight) >= limit)
     if hot.isEmpty():
         return rows.join(facts, keys, how)
-    near = rows.join(F.broadcast(hot), keys)
-    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col(weight) < limit), keys, how)
-    return near.unionByName(far)
+    told = [c for c in facts.columns if c not in keys]
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    far = marked.where("_hot IS NULL").drop("_hot", *told).join(facts.where(F.col(weight) < limit), keys, how)
+    return marked.where("_hot").drop("_hot").unionByName(far)
