@@ -129,34 +129,66 @@ def test_substrings_equal_brute_force(spark):
     assert remove_repeated(df.limit(0)).count() == 0
 
 
-def test_vectors_equal_brute_force(spark):
-    r = np.random.default_rng(5)
-    base = r.normal(size=(30, 16))
-    rows = [(i, (base[r.integers(30)] + r.normal(size=16) * r.choice([0, 0.1, 0.25])).tolist(), int(r.integers(3))) for i in range(400)]
-    rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [None] + [1.0] * 15, 1), (403, [float("nan")] * 16, 1), (404, [1.0] * 16, None), (405, [float("inf")] + [1.0] * 15, 2), (406, [1.0] * 8, 1), (407, [], 1), rows[0]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS key", "2 AS copies")
-    rows = [tuple(x)[:3] for x in df.collect()]
+def vector_links(rows):
+    """(id, links, least id reached) of all rows, and the number of links."""
     u, n = Union(len(rows)), [0] * len(rows)
     unit = {}
     for i, (_, v, label) in enumerate(rows):
         if v and label is not None and None not in v and np.isfinite(v).all() and any(v):
             unit[i] = np.array(v, float) / np.linalg.norm(np.array(v, float))
-    for i in unit:
-        for j in unit:
-            if i != j and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93:
-                n[i] += 1
-                u.join(i, j)
+    groups = collections.defaultdict(list)
+    for i, v in unit.items():
+        groups[rows[i][2], len(v)].append(i)
+    for own in groups.values():
+        m = np.stack([unit[i] for i in own])
+        for a, b in zip(*np.nonzero(m @ m.T >= 0.93), strict=True):
+            if a != b:
+                n[own[a]] += 1
+                u.join(own[a], own[b])
     least = {}
     for i, (d, *_) in enumerate(rows):
         least[u.find(i)] = min(least.get(u.find(i), d), d)
-    got = link_vectors(df, block_rows=64).collect()
-    want = sorted((d, n[i], least[u.find(i)]) for i, (d, *_) in enumerate(rows))
+    return sorted((d, n[i], least[u.find(i)]) for i, (d, *_) in enumerate(rows)), sum(n)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("how", [{"block_rows": 64}, {"sigmas": None, "lists": 40}, {"sample_rows": 60}])
+def test_vectors_equal_brute_force(spark, how):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(30, 16))
+    rows = [(i, (base[r.integers(30)] + r.normal(size=16) * r.choice([0, 0.1, 0.25])).tolist(), int(r.integers(3))) for i in range(400)]
+    rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [None] + [1.0] * 15, 1), (403, [float("nan")] * 16, 1), (404, [1.0] * 16, None), (405, [float("inf")] + [1.0] * 15, 2), (406, [1.0] * 8, 1), (407, [], 1), rows[0]]
+    # Lengths that few vectors have, one of them in no small sample.
+    rows += [(500 + i, [1.0, 0.01 * i], 1) for i in range(3)] + [(510 + i, [1.0, 0.01 * i, 0.0], i // 3) for i in range(6)]
+    df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 AS key", "2 AS copies")
+    want, total = vector_links([tuple(x)[:3] for x in df.collect()])
+    got = link_vectors(df, **how).collect()
     found = sorted((x.vec_id, x.n_links, x.component_id) for x in got)
-    assert sum(x[1] for x in found) >= 0.9 * sum(n) and found == want
+    assert sum(x[1] for x in found) >= 0.9 * total and found == want
     assert all(x.kept == (x.vec_id == x.component_id) for x in got)
     assert link_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs with cosines from 0.93 on, in a space without clusters: the hardest case for lists."""
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(3000):
+        q, u = r.normal(size=(2, 64))
+        q /= np.linalg.norm(q)
+        u -= (u @ q) * q
+        u /= np.linalg.norm(u)
+        c = r.uniform(0.9301, 0.95)
+        rows += [(2 * i, q.tolist(), i % 2), (2 * i + 1, (c * q + np.sqrt(1 - c * c) * u).tolist(), i % 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want, total = vector_links(rows)
+    for how, least in (({}, 0.99), ({"sigmas": None}, 1.0)):
+        got = sum(x.n_links for x in link_vectors(df, **how).collect())
+        assert least * total <= got <= total and total >= 6000
+
+
 def test_levels_keep_what_is_found_twice(spark):
     from runmill.llm.substring import _found_twice, extended, lengths
     from runmill.llm.words import windows as window_hashes
