@@ -1,10 +1,12 @@
-"""Joins whose keys may hold a large share of all rows."""
+"""Keys of rows, and joins whose keys may hold a large share of all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KEY_DDL = "struct<a: long, b: long>"
+
 #: A key is hot if it has 1 / HOT_PARTS of the rows or more, so there are no more than HOT_PARTS hot keys.
 HOT_PARTS = 256
 #: Rows that a key needs to be hot, at least.
@@ -28,3 +30,8 @@ def join_unique(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str,
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     far = marked.where("_hot IS NULL").drop("_hot", *told).join(facts.where(F.col(weight) < limit), keys, how)
     return marked.where("_hot").drop("_hot").unionByName(far)
+
+
+def row_key(*columns: Column | str) -> Column:
+    """Two hashes of the columns: at 1e11 rows any two different ones share a single 64-bit hash with near certainty, both with a probability of about 1e-17."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))

@@ -21,7 +21,7 @@ and one of 35 words two of 32 that overlap, so the hashes of the next level come
 from those of the level before.  The verdicts of a stretch go back to all its
 copies.
 
-What is shuffled: 40 bytes a run, what the candidates of a level need, and the
+What is shuffled: 48 bytes a run, what the candidates of a level need, and the
 texts twice, by row.  Counts are aggregated before the shuffle, and joins on keys
 that may be hot (a passage that a third of all rows share) take the hot keys
 apart (skew.py).  Equality is of two 64-bit hashes, of piece and window.
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runmill.llm.durable import durable
-from runmill.llm.skew import join_unique
+from runmill.llm.skew import KEY_DDL, join_unique, row_key
 from runmill.llm.words import mix, slices, spans_hash, windows
 
 WINDOW = 35
@@ -169,7 +169,7 @@ def extended(batch: pa.RecordBatch, window: int, length: int, to: int) -> pa.Rec
 
 def _with_key(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select("doc_id", text.alias("text")).withColumn("key", row_key("doc_id", "text"))
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
@@ -226,7 +226,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -
                 yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     rows = _with_key(docs)
-    found = durable(rows.select("key", "text").mapInArrow(runs, "key long, start int, n int, piece long, stretch long, own boolean"))
+    found = durable(rows.select("key", "text").mapInArrow(runs, f"key {KEY_DDL}, start int, n int, piece long, stretch long, own boolean"))
     # Level of the pieces: stretches of pieces that are found once go no further.
     stretches = found.groupBy("piece", "stretch").agg(
         F.count(F.lit(1)).alias("copies"),

@@ -81,13 +81,54 @@ def joined(rows):
     return sorted(((d, len(sets[i]), least.get(u.find(i), d)) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("how", [{}, {"leaf": 16, "pivots": 5}])
+@pytest.mark.parametrize("how", [{}, {"leaf": 16, "pivots": 5}, {"leaf": 4, "pivots": 2}])
 def test_ngram_join_equals_brute_force(spark, how):
     rows = near_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS id", "3 AS n")
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in join_documents(df, **how).collect()), key=str) == joined(rows)
 
 
+@pytest.mark.parametrize("kind", ["far", "chain", "near", "mixed"])
+def test_regions_by_pivots_equal_all_pairs(spark, kind):
+    """Cells, windows and blocks, in one task and over tasks."""
+    from runmill.llm.ngram_join import _in_blocks, _linked, _common, _region_links, _Region
+
+    r, sets = np.random.default_rng(9), []
+    hashes = lambda n: r.choice(2**62, n, replace=False).astype(np.uint64)
+    one = hashes(40)
+    for i in range(150):
+        if kind == "far":
+            s = np.concatenate([one[:1], hashes(int(r.integers(5, 60)))])
+        elif kind == "chain":
+            s = hashes(40) if i == 0 else np.concatenate([sets[-1][int(r.integers(1, 5)) :], hashes(int(r.integers(1, 5)))])
+        elif kind == "near":
+            s = np.concatenate([one[int(r.integers(0, 3)) :], hashes(int(r.integers(0, 3)))])
+        else:
+            base = sets[int(r.integers(len(sets)))] if sets and r.random() < 0.7 else hashes(int(r.integers(1, 80)))
+            s = np.concatenate([base[int(r.integers(0, max(1, len(base) // 3))) :], hashes(int(r.integers(1, 6)))])
+        sets.append(np.unique(s))
+    n = np.array([len(s) for s in sets])
+    u = Union(len(sets))
+    for i, j in zip(*np.nonzero(_linked(_common(sets, sets), n, n)), strict=True):
+        u.join(i, j)
+    want = collections.Counter(frozenset(j for j in range(len(sets)) if u.find(j) == u.find(i)) for i in range(len(sets)))
+
+    def groups(edges):
+        v = Union(len(sets))
+        for i, j in edges:
+            v.join(i, j)
+        return collections.Counter(frozenset(j for j in range(len(sets)) if v.find(j) == v.find(i)) for i in range(len(sets)))
+
+    region = _Region(np.arange(len(sets)), sets, np.zeros(len(sets), np.int64), 16)
+    region.ids = region.ids + 1  # labels are ids, and 0 is none
+    region.join(np.arange(len(sets)))
+    assert groups((a - 1, b - 1) for a, b in zip(*(x.to_pylist() for x in region.tree().columns), strict=True)) == want
+    rows = spark.createDataFrame([(7, i + 1, s.tobytes(), None) for i, s in enumerate(sets)], "region long, id long, hashes binary, pivot long")
+    for leaf in (8, 40):
+        assert groups((x.a - 1, x.b - 1) for part in _region_links(rows, leaf, 4) for x in part.collect()) == want
+    assert groups((x.a - 1, x.b - 1) for x in _in_blocks(rows, 20).collect()) == want
+
+
 def test_one_of_each(spark):
     rows = [(d, t) for d, t in near_texts(90) if d is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS row")
