@@ -1,20 +1,24 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Every text is measured in one pass.  For each (lang, source) group a KLL sketch
-of each rate is built with Spark's own sketch aggregate: partial sketches of
-tasks merge, so a group of any size is spread over all tasks and only sketches
-are shuffled.  A rate is too high above ``q75 + SPREAD * (q75 - q25) + slack``
-of its group; the quantiles come from the documents that pass the base rules.
-The thresholds are joined back by group and filter the documents.
-
-A quantile alone would reject a share of every group, however clean; a fence
-that lies many interquartile ranges above the bulk rejects only documents that
-stand apart from their own group.  The slacks keep groups with no spread (all
-documents without symbols, say) from rejecting a document for a trifle.
+Every text is measured in one pass.  For each (lang, source) group and rate a
+quantile sketch is kept: counts in buckets whose width grows with the value, so a
+quantile is at most 1/64 too low (2^-20 near zero).  Sketches merge by adding
+counts; so they don't depend on the order of rows or tasks, a retried task changes
+nothing, and a group of any size is spread over all tasks and only counts are
+shuffled.
+
+A rate is too high above its group's fence: median + SPREAD * (median - tenth
+percentile) + slack, from the documents that pass the base rules.  Up to two fifths
+of a group can be junk and move these two quantiles little.  A quantile alone would
+reject a share of every group, however clean; the fence rejects only what stands far
+from the bulk.  Few documents tell little, so a group's fence is averaged with that
+of its language (the sketches of all its sources, merged), which counts as PRIOR
+documents.  The slacks keep groups with no spread (all documents without symbols,
+say) from rejecting a document for a trifle.  The thresholds are joined back by
+group and filter the documents.
 
 Cases: a null text has no words and fails the base rules; null lang or source
-form groups of their own; groups of a single document reject nothing but by the
-base rules; repeated rows are measured each; an empty table gives an empty
+form groups of their own; the fence of a small group is mostly its language's; repeated rows are measured each; an empty table gives an empty
 result; further columns of the input are ignored.
 """
 
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runmill.llm.durable import durable
@@ -35,8 +39,12 @@ REPEAT_WORDS = 8
 MIN_WORDS = 20
 #: Percent of the words that may lie in repeated windows.
 MAX_REPEATED_PERCENT = 30
-#: Interquartile ranges above the upper quartile that a rate may reach.
-SPREAD = 8.0
+#: How many times the distance of median and tenth percentile a rate may lie above the median.
+SPREAD = 6.0
+#: Documents as which a language's fence counts beside a group's own.
+PRIOR = 30
+#: A rate's bucket: its value in 2^-20, of which the seven highest bits are kept.
+UNIT, BITS = 1 << 20, 7
 #: Rates and what is added to their fences.
 RATES = {"symbol_rate": 0.10, "dup_line_rate": 0.50, "long_word_rate": 3.0, "stutter_rate": 0.20}
 
@@ -126,7 +134,33 @@ def measure(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, source string, " + ", ".join(f"{x} long" for x in _MEASURES))
 
 
-def judge(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
+def bucket(rate: Column) -> Column:
+    """The lower end of a rate's bucket, in 1/UNIT."""
+    value = F.floor(rate * UNIT)
+    low = F.greatest(F.lit(0), F.length(F.bin(value)) - BITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+
+
+def sketch(rated: DataFrame) -> DataFrame:
+    """Counts (lang, source, rate, bucket, n) of all rates; sketches merge by adding n."""
+    rates = F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), bucket(F.col(x)).alias("bucket")) for x in RATES])).alias("r")
+    return rated.select("lang", "source", rates).groupBy("lang", "source", "r.rate", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fences(sketches: DataFrame, keys: list[str], spread: float) -> DataFrame:
+    """(keys, rate, total, fence) of merged sketches; a group and rate has some hundred buckets at most."""
+    merged = sketches.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    of_rate = Window.partitionBy(*keys, "rate")
+    counted = merged.withColumn("upto", F.sum("n").over(of_rate.orderBy("bucket"))).withColumn("total", F.sum("n").over(of_rate))
+    slack = F.lit(None).cast("double")
+    for x, value in RATES.items():
+        slack = F.when(F.col("rate") == x, F.lit(value)).otherwise(slack)
+    at = lambda parts: F.min(F.when(F.col("upto") * parts >= F.col("total"), F.col("bucket"))) / F.lit(float(UNIT))
+    quantiles = counted.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(2).alias("median"), at(10).alias("tenth"))
+    return quantiles.select(*keys, "rate", "total", (F.col("median") + spread * (F.col("median") - F.col("tenth")) + slack).alias("fence"))
+
+
+def judge(measured: DataFrame, spread: float = SPREAD, prior: int = PRIOR) -> DataFrame:
     """Base rules, group fences and the verdict for rows of ``measure``.
 
     Adds base_failed, the rates, their fences (``*_max``) and kept.  The table
@@ -142,17 +176,12 @@ def judge(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
         .withColumn("long_word_rate", F.when(words > 0, F.col("word_chars") / words).otherwise(0.0))
         .withColumn("stutter_rate", F.when(words > 0, F.col("n_stutters") / words).otherwise(0.0))
     )
-    sketches = (
-        rated.where(~F.col("base_failed"))
-        .groupBy("lang", "source")
-        .agg(*[F.expr(f"kll_sketch_agg_double({x})").alias(x) for x in RATES])
-    )
-    quantile = "kll_sketch_get_quantile_double({0}, {1}D)".format
-    fences = sketches.select(
-        F.col("lang").alias("_lang"),
-        F.col("source").alias("_source"),
-        *[F.expr(f"{quantile(x, 0.75)} + {spread}D * ({quantile(x, 0.75)} - {quantile(x, 0.25)}) + {slack}D").alias(f"{x}_max") for x, slack in RATES.items()],
-    )
+    sketches = durable(sketch(rated.where(~F.col("base_failed"))))
+    own, pooled = _fences(sketches, ["lang", "source"], spread), _fences(sketches, ["lang"], spread)
+    pooled = pooled.select(F.col("lang").alias("_of"), F.col("rate").alias("_rate"), F.col("fence").alias("_pooled"))
+    both = own.join(pooled, F.col("lang").eqNullSafe(F.col("_of")) & (F.col("rate") == F.col("_rate")))
+    fence = (F.col("total") * F.col("fence") + float(prior) * F.col("_pooled")) / (F.col("total") + prior)
+    fences = both.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*[F.max(F.when(F.col("rate") == x, fence)).alias(f"{x}_max") for x in RATES])
     joined = rated.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     over = F.lit(False)
     for x in RATES:

@@ -57,9 +57,14 @@ WITH RECURSIVE v AS (
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
 """
 
-_FENCE = "quantile_disc({0}, 0.75) + 8.0::DOUBLE * (quantile_disc({0}, 0.75) - quantile_disc({0}, 0.25)) + {1}::DOUBLE AS {0}_max"
+#: Median and tenth percentile of merged bucket counts, by the given columns.
+_QUANTILES = """SELECT {0}, rate, max(total) AS total, min(bucket) FILTER (upto * 2 >= total) / 1048576.0::DOUBLE AS median, min(bucket) FILTER (upto * 10 >= total) / 1048576.0::DOUBLE AS tenth FROM (
+    SELECT {0}, rate, bucket, sum(n) OVER (PARTITION BY {0}, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {0}, rate) AS total
+    FROM (SELECT {0}, rate, bucket, sum(n) AS n FROM sketch GROUP BY ALL)
+  ) GROUP BY {0}, rate"""
+_FENCE = "max(CASE WHEN rate = '{0}' THEN fence END) AS {0}_max"
+_RATES = ("symbol_rate", "dup_line_rate", "long_word_rate", "stutter_rate")
 
-#: A sketch of few values is exact; the quantiles of larger groups can differ from these.
 OP9_SQL = f"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents
@@ -89,9 +94,23 @@ WITH w AS (
     CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_rate, n_dup_lines / n_lines AS dup_line_rate,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS long_word_rate, CASE WHEN n_words > 0 THEN stutters / n_words ELSE 0.0 END AS stutter_rate
   FROM m
+), rates AS (
+  UNPIVOT (SELECT lang, source, {", ".join(_RATES)} FROM rated WHERE NOT base_failed) ON {", ".join(_RATES)} INTO NAME rate VALUE value
+), scaled AS (
+  SELECT lang, source, rate, CAST(floor(value * 1048576) AS BIGINT) AS v FROM rates
+), sketch AS (
+  SELECT lang, source, rate, (v >> greatest(0, length(bin(v)) - 7)) << greatest(0, length(bin(v)) - 7) AS bucket, count(*) AS n FROM scaled GROUP BY ALL
+), slacks AS (
+  SELECT * FROM (VALUES ('symbol_rate', 0.10::DOUBLE), ('dup_line_rate', 0.50::DOUBLE), ('long_word_rate', 3.0::DOUBLE), ('stutter_rate', 0.20::DOUBLE)) AS t(rate, slack)
+), own AS (
+  SELECT q.*, median + 6.0::DOUBLE * (median - tenth) + slack AS fence FROM ({_QUANTILES.format("lang, source")}) q JOIN slacks USING (rate)
+), pooled AS (
+  SELECT q.*, median + 6.0::DOUBLE * (median - tenth) + slack AS fence FROM ({_QUANTILES.format("lang")}) q JOIN slacks USING (rate)
+), blended AS (
+  SELECT o.lang, o.source, o.rate, (CAST(o.total AS DOUBLE) * o.fence + 30.0::DOUBLE * p.fence) / CAST(o.total + 30 AS DOUBLE) AS fence
+  FROM own o JOIN pooled p ON o.lang IS NOT DISTINCT FROM p.lang AND o.rate = p.rate
 ), fences AS (
-  SELECT lang, source, {_FENCE.format("symbol_rate", "0.10")}, {_FENCE.format("dup_line_rate", "0.50")}, {_FENCE.format("long_word_rate", "3.0")}, {_FENCE.format("stutter_rate", "0.20")}
-  FROM rated WHERE NOT base_failed GROUP BY lang, source
+  SELECT lang, source, {", ".join(_FENCE.format(x) for x in _RATES)} FROM blended GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(symbol_rate > symbol_rate_max OR dup_line_rate > dup_line_rate_max OR long_word_rate > long_word_rate_max OR stutter_rate > stutter_rate_max, false) AS kept

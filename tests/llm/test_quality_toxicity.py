@@ -93,3 +93,31 @@ def test_held_out_accuracy_and_edges(spark):
     assert learn(docs, labels.limit(0)) == [] and score_documents(docs.limit(0), terms).count() == 0
     assert {x.score for x in score_documents(docs.limit(5), []).collect()} == {0.0}
     assert learn(docs, labels.selectExpr("doc_id", "quality", "CAST(NULL AS INT) AS toxic")) == []
+
+
+def test_fences_of_contaminated_and_small_groups(spark):
+    r = random.Random(8)
+    text = lambda junk: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + f"{r.randint(0, 999)}" + (" # $ %" if junk else "") for _ in range(60))
+    # Two fifths of a group, and half of four documents, are junk.
+    groups = [("en", "hot", 200, 80), ("en", "tiny", 4, 2), ("fr", "only", 50, 15), ("de", "clean", 60, 0)]
+    rows = [(1000 * g + i, text(i < junk), lang, source, 1) for g, (lang, source, n, junk) in enumerate(groups) for i in range(n)]
+    got = {x.doc_id: x.kept for x in assess(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {1000 * g + i: i >= junk for g, (_, _, n, junk) in enumerate(groups) for i in range(n)}
+
+
+def test_sketches_merge_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    from runmill.llm.quality import RATES, bucket, judge, measure, sketch
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fences = [f"{x}_max" for x in RATES]
+    runs = [sorted(map(tuple, judge(measure(d)).select("doc_id", "kept", *fences).collect())) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")))]
+    assert runs[0] == runs[1] == runs[2]
+    # Sketches of parts add up to that of the whole.
+    rated = measure(docs).select("doc_id", "lang", "source", *[(F.col("word_chars") / (i + F.col("n_lines"))).alias(x) for i, x in enumerate(RATES)])
+    parts = sketch(rated.where("doc_id % 3 = 0")).unionByName(sketch(rated.where("doc_id % 3 > 0"))).groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, sketch(rated).collect()))
+    values = spark.createDataFrame([(x,) for x in (0.0, 1e-7, 0.013, 0.5, 1.0, 4.999, 123.456, 1e6)], "v double")
+    for x in values.select("v", bucket(F.col("v")).alias("b")).collect():
+        assert x.b / 2**20 <= x.v <= x.b / 2**20 * (1 + 1 / 64) + 2**-20
