@@ -5,16 +5,22 @@ hash of their id) the words and word beginnings that tell toxic from clean
 documents are counted, and a lexicon of at most MAX_TERMS terms is chosen: every
 term of overwhelming evidence, and by greedy cover weaker ones that explain
 toxic documents which no chosen term explains.  A term is a whole word or a
-beginning of words (stems of languages that build words), with a probability
-for exact and one for misspelt matches.
+beginning of words (stems of languages that build words).  Then the sample is
+matched with the lexicon, and for each term it is counted how many toxic documents
+have it once, twice, three times or more often, and how often it stands by chance
+in clean documents.  So a beginning that clean texts have now and then needs more
+matches, and a long text more than a short one.
 
 Matching.  The terms form a trie.  A text's words run through it together with
-a Levenshtein automaton for one edit, so a misspelt whole word of five and more
-letters is caught; each distinct word is matched once and remembered.
+a Levenshtein automaton: one edit for terms of four letters and more, and within
+beginnings, two edits for terms of eight and more.  How much a misspelt match is
+worth is counted on the sample, so a term whose neighbours are words of clean texts
+loses them.  Each distinct word is matched once and remembered.
 
 Scoring.  Each match is weighed by its context window: inside quotation marks,
 or near words that report speech, a match counts less (it is quoted, not
-uttered).  Matches combine as 1 - product(1 - p).
+uttered).  The weight of quoted matches, and which words report speech, are learned
+from sample documents with matches.  Terms combine as 1 - product(1 - p).
 
 Cases: null and empty texts score 0; null labels are not learned from; without
 any labels all scores are 0; long texts are scored whole; repeated rows are
@@ -37,33 +43,59 @@ from runmill.llm.durable import durable
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 20_000
-#: Terms of a lexicon, and candidates whose clean counts are taken.
-MAX_TERMS, MAX_CANDIDATES = 512, 20_000
+#: Terms of a lexicon, and candidates whose clean counts are taken (bounds of the fit, as the sample is one).
+MAX_TERMS, MAX_CANDIDATES = 512, 5_000
 #: Lengths of word beginnings, in characters.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6, 7, 8, 9)
 #: Log likelihood ratio of a term that stands alone, and of one that covers documents nothing else covers.
 STRONG, WEAK = 20.7, 6.0
-#: Least share of toxic documents among those with a term.
-PRECISION = 0.9
-#: Words on each side of a match that are its context, and the factor for quoted and for reported matches.
-CONTEXT, QUOTED, REPORTED = 8, 0.35, 0.6
+#: Least share of toxic documents among those with a term, and with a term of overwhelming evidence, which may need several matches.
+PRECISION, STRONG_PRECISION = 0.9, 0.5
+#: Letters of a term that may have one edit, and two.
+ONE_EDIT, TWO_EDITS = 4, 8
+#: Matches of a term in a document that are told apart.
+COUNTED = 4
+#: Words on each side of a match that are its context, and the weight of a quoted match before anything is learned, as much as so many documents.
+CONTEXT, QUOTED, QUOTED_PRIOR = 8, 0.35, 5
+#: Clean documents that a word near matches needs to count as one that reports speech, and their least share.
+REPORTS, REPORT_SHARE = 5, 0.5
 THRESHOLD = 0.7
 REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
-#: Words that report speech, in the languages of the corpus (fixed list).
-_REPORTING = frozenset("said says wrote quoted quote called calling term word slur dit cite citation mot sagte schrieb zitat wort dijo cita palabra".split())
 
 
 @dataclass
 class Term:
-    """A lexicon entry: a whole word, or the beginning of words."""
+    """A lexicon entry: a whole word, or the beginning of words.
+
+    toxic: sample documents that have it once, twice, ... (COUNTED: so often or
+    more); clean: clean documents with a word of its first letters; rate: its
+    matches for each of their words.  Without them ``exact`` holds for any number.
+    """
 
     text: str
     whole: bool
     exact: float
     misspelt: float = 0.0
+    toxic: tuple[int, ...] = ()
+    clean: int = 0
+    rate: float = 0.0
+
+    @property
+    def edits(self) -> int:
+        return 0 if not self.misspelt or len(self.text) < ONE_EDIT else 2 if self.whole and len(self.text) >= TWO_EDITS else 1
+
+    def probability(self, matches: int, words: int) -> float:
+        """That a document of so many words is toxic, of which so many match."""
+        if not self.toxic:
+            return self.exact
+        k, mean = min(matches, COUNTED), self.rate * words
+        below = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(k))
+        chance = 1 - below if k == COUNTED else math.exp(-mean) * mean**k / math.factorial(k)
+        have = self.toxic[k - 1] + 0.5
+        return have / (have + self.clean * chance + 0.5)
 
 
 @dataclass
@@ -71,28 +103,45 @@ class _Node:
     below: dict[str, _Node] = field(default_factory=dict)
     term: int = -1  # a whole word ends here
     stem: int = -1  # a beginning ends here
+    edits: int = 0  # what a term below may have
+
+
+class Terms(list):
+    """Terms, the weight of a match in quotation marks, and the weights of matches near words that report speech."""
+
+    def __init__(self, terms: list[Term], quoted: float = QUOTED, reports: dict[str, float] | None = None):
+        super().__init__(terms)
+        self.quoted, self.reports = quoted, reports or {}
 
 
 class Lexicon(dict):
-    """Words and their match: (probability, term, misspelt) or None; filled as words come."""
+    """Words and their match: (weight, term, misspelt) or None; filled as words come."""
 
-    def __init__(self, terms: list[Term]):
+    def __init__(self, terms: Terms | list[Term]):
         super().__init__()
         self.terms = terms
+        self.quoted, self.reports = (terms.quoted, terms.reports) if isinstance(terms, Terms) else (QUOTED, {})
         self.root = _Node()
         self.heads: set[str] = set()
         self.tails: set[str] = set()
+        self.middles: set[str] = set()
         for i, t in enumerate(terms):
-            node = self.root
+            path = [self.root]
             for c in t.text:
-                node = node.below.setdefault(c, _Node())
+                path.append(path[-1].below.setdefault(c, _Node()))
+            for node in path:
+                node.edits = max(node.edits, t.edits)
             if t.whole:
-                node.term = i
-                if len(t.text) >= 5:
-                    self.heads.add(t.text[:2])
-                    self.tails.add(t.text[-2:])
+                path[-1].term = i
             else:
-                node.stem = i
+                path[-1].stem = i
+            if t.edits:
+                # Pairs of letters with one between them: an edit, a swap too, reaches one of them only.
+                self.heads |= {t.text[:2]} | ({t.text[0] + t.text[2]} if len(t.text) == ONE_EDIT else set())
+                if t.whole:
+                    self.tails.add(t.text[-2:])
+                if t.edits == 2 or not t.whole:
+                    self.middles.add(t.text[3:5] if len(t.text) > ONE_EDIT else t.text[2:4])
 
     def __missing__(self, word: str) -> tuple[float, int, bool] | None:
         if len(self) >= REMEMBERED:
@@ -111,26 +160,29 @@ class Lexicon(dict):
                 best = max(best or (0.0, 0, False), (self.terms[node.stem].exact, node.stem, False))
             if node.term >= 0 and i + 1 == len(word):
                 best = max(best or (0.0, 0, False), (self.terms[node.term].exact, node.term, False))
-        # One edit leaves one half of a term whole.
-        if best is None and len(word) >= 4 and (word[:2] in self.heads or word[-2:] in self.tails):
-            hit = self._one_edit(word)
-            if hit is not None and self.terms[hit].misspelt > 0:
+        if best is None and len(word) >= ONE_EDIT - 1 and self.root.edits and (word[:2] in self.heads or word[-2:] in self.tails or any(m in word for m in self.middles)):
+            hit = self.near(word)
+            if hit is not None:
                 best = (self.terms[hit].misspelt, hit, True)
         return best
 
-    def _one_edit(self, word: str) -> int | None:
-        """Walk the trie with the automaton of all words at one edit from ``word``.
+    def near(self, word: str) -> int | None:
+        """The term of the highest weight that ``word`` misspells.
 
-        A state is the set of (characters of the word read, edits); edits are a
-        changed, missing, additional, or swapped character.
+        Walks the trie with the Levenshtein automaton of the word.  A state is
+        (characters of the word read, edits, character owed by a swap); edits are
+        a changed, missing, additional, or swapped character.  A beginning is
+        found wherever the word goes on.
         """
         n, found = len(word), None
-        stack: list[tuple[_Node, frozenset[tuple[int, int, str]], int]] = [(self.root, frozenset({(0, 0, "")}), 0)]
+        stack: list[tuple[_Node, frozenset[tuple[int, int, str]]]] = [(self.root, frozenset({(0, 0, "")}))]
         while stack:
-            node, states, depth = stack.pop()
-            if node.term >= 0 and depth >= 5 and any(not owed and (e == 1 and i == n or e == 0 and i == n - 1) for i, e, owed in states):
-                if found is None or self.terms[node.term].misspelt > self.terms[found].misspelt:
-                    found = node.term
+            node, states = stack.pop()
+            for at, whole in ((node.term, True), (node.stem, False)):
+                if at >= 0 and (found is None or self.terms[at].misspelt > self.terms[found].misspelt):
+                    most = self.terms[at].edits
+                    if any(not owed and 0 < e + (n - i if whole else 0) <= most for i, e, owed in states):
+                        found = at
             for c, below in node.below.items():
                 nxt = set()
                 for i, e, owed in states:
@@ -138,43 +190,53 @@ class Lexicon(dict):
                         if c == owed:
                             nxt.add((i, e, ""))
                         continue
-                    if i < n and word[i] == c:
-                        nxt.add((i + 1, e, ""))
-                    if e == 0:
-                        nxt.add((i, 1, ""))  # the word lacks c
-                        if i < n:
-                            nxt.add((i + 1, 1, ""))  # the word has another character
-                        if i + 1 < n and word[i + 1] == c:
-                            nxt.add((i + 2, 1, ""))  # the word has one more
-                            nxt.add((i + 2, 1, word[i]))  # or two are swapped
+                    # Characters that the word has more come before one that it shares or lacks.
+                    for more in range(min(below.edits - e, n - i) + 1):
+                        j, d = i + more, e + more
+                        if j < n and word[j] == c:
+                            nxt.add((j + 1, d, ""))
+                        if d < below.edits:
+                            nxt.add((j, d + 1, ""))
+                            if j < n:
+                                nxt.add((j + 1, d + 1, ""))
+                            if j + 1 < n and word[j + 1] == c:
+                                nxt.add((j + 2, d + 1, word[j]))
                 if nxt:
-                    stack.append((below, frozenset(nxt), depth + 1))
+                    stack.append((below, frozenset(nxt)))
         return found
 
-    def hits(self, text: str) -> list[tuple[float, int, bool, int]]:
-        """Matches as (probability in context, term, misspelt, position of the word)."""
+    def hits(self, text: str) -> tuple[list[tuple[float, int, bool, bool, int]], list[str]]:
+        """Matches as (weight in context, term, misspelt, quoted, position of the word), and all words."""
         low = text.lower()
         words = _WORD.findall(low)
         at = [i for i, m in enumerate(map(self.__getitem__, words)) if m is not None]
         if not at:
-            return []
+            return [], words
         places = [m.start() for m in _WORD.finditer(low)]
         out = []
         for i in at:
-            p, term, misspelt = self[words[i]]
-            near = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            if _quoted(low, places, i):
-                p *= QUOTED
-            elif not _REPORTING.isdisjoint(near):
-                p *= REPORTED
-            out.append((p, term, misspelt, i))
-        return out
+            weight, term, misspelt = self[words[i]]
+            weight = weight / self.terms[term].exact if misspelt else 1.0
+            quoted = _quoted(low, places, i)
+            if quoted:
+                weight *= self.quoted
+            elif self.reports:
+                weight *= min(self.reports.get(w, 1.0) for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1])
+            out.append((weight, term, misspelt, quoted, i))
+        return out, words
 
     def score(self, text: str | None) -> float:
         if not text or not self.terms:
             return 0.0
+        hits, words = self.hits(text)
+        weights: dict[int, list[float]] = {}
+        for weight, term, *_ in hits:
+            weights.setdefault(term, []).append(weight)
         left = 0.0
-        for p, *_ in self.hits(text):
+        for term, own in weights.items():
+            # The matches of greatest weight, as many as tell most: quoted ones don't lessen the others.
+            own.sort(reverse=True)
+            p = max(self.terms[term].probability(k, len(words)) * sum(own[:k]) / k for k in range(1, min(len(own), COUNTED) + 1))
             left += math.log1p(-min(p, 0.999999))
         return 1.0 - math.exp(left)
 
@@ -219,10 +281,10 @@ def choose(toxic: list[tuple[str, int, int]], members: dict[str, list[int]], n_t
     rated = []
     for name, a, b in toxic:
         p = a / (a + b)
-        if p < PRECISION or p <= base:
+        if p < STRONG_PRECISION or p <= base:
             continue
         ratio = a * math.log(p / base) + (b * math.log((1 - p) / (1 - base)) if b else 0.0)
-        if ratio >= WEAK:
+        if ratio >= (WEAK if p >= PRECISION else STRONG):
             rated.append((-a, not name.endswith(" "), -len(name), name, b, ratio))
     rated.sort()
     chosen: list[Term] = []
@@ -257,8 +319,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Term]:
-    """Choose a lexicon from labelled rows that are not held out.
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Terms:
+    """Terms from labelled rows that are not held out.
 
     The sample of ids is bounded by sample_rows and broadcast to the scan of
     ``docs``, so texts are not shuffled; its texts are written once and counted
@@ -270,7 +332,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").where(F.col("text").isNotNull()))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return []
+        return Terms([])
 
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +362,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     clean = {r["name"]: r["n"] for r in rows.where("toxic = 0").select("text").mapInArrow(clean_counts, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()}
     terms = choose([(n, a, clean.get(n, 0)) for n, a in evidence.items()], members, sizes[1], sizes[0])
-    return _with_misspellings(rows, terms)
+    return _calibrated(rows, terms)
 
 
 def hash_of(text: str) -> int:
@@ -309,29 +371,72 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _with_misspellings(rows: DataFrame, terms: list[Term]) -> list[Term]:
-    """Probabilities of misspelt matches: the labels of sample rows that have one, on a prior of 0.75."""
-    for t in terms:
-        t.misspelt = 0.75 if t.whole and len(t.text) >= 5 else 0.0
-    if not any(t.misspelt for t in terms):
-        return terms
+def _counted(rows: DataFrame, terms: Terms) -> DataFrame:
+    """What the sample tells of its terms: (kind, term, word, toxic, k, n)."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, seen = Lexicon(terms), Counter()
+        starts = {t.text[:3] for t in terms}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update({(term, toxic) for _, term, misspelt, _ in lexicon.hits(text) if misspelt})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())],
-            names=["term", "toxic", "n"],
-        )
-
-    got: Counter[tuple[int, int]] = Counter()
-    for r in rows.select("text", "toxic").mapInArrow(counts, "term int, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n")).collect():
-        got[r["term"], r["toxic"]] = r["n"]
+                hits, words = lexicon.hits(text)
+                exact = [x for x in hits if not x[2]]
+                # Matches that their context makes less than half a match don't count.
+                own: Counter[int] = Counter(term for weight, term, *_ in exact if weight >= 0.5)
+                seen.update(("matches", term, "", toxic, min(k, COUNTED)) for term, k in own.items())
+                seen.update(("misspelt", term, "", toxic, 0) for term in {term for _, term, misspelt, *_ in hits if misspelt and not own[term]})
+                if not toxic:
+                    for start in starts & {w[:3] for w in words}:
+                        seen["documents", -1, start, 0, 0] += 1
+                        seen["words", -1, start, 0, 0] += len(words)
+                    for term, k in own.items():
+                        seen["all", term, "", 0, 0] += k
+                # Beginnings stand in clean texts by chance; whole words do so for a reason.
+                exact = [x for x in exact if terms[x[1]].whole]
+                if exact and all(x[3] for x in exact):
+                    seen["quoted", -1, "", toxic, 0] += 1
+                near = {w for *_, quoted, i in exact if not quoted for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]}
+                seen.update(("near", -1, w, toxic, 0) for w in near if lexicon[w] is None)
+        columns = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) or [()] * 6
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["kind", "term", "word", "toxic", "k", "n"])
+
+    return durable(rows.select("text", "toxic").mapInArrow(counts, "kind string, term int, word string, toxic int, k int, n long").groupBy("kind", "term", "word", "toxic", "k").agg(F.sum("n").alias("n")))
+
+
+def _totals(found: DataFrame) -> Counter[tuple]:
+    """A few rows a term."""
+    got: Counter[tuple] = Counter()
+    for r in found.where("kind != 'near'").collect():
+        got[r["kind"], r["term"], r["word"], r["toxic"], r["k"]] += r["n"]
+    return got
+
+
+def _calibrated(rows: DataFrame, chosen: list[Term]) -> Terms:
+    """The terms with what the sample tells of them: first of their contexts, then, by these, of their numbers.
+
+    Of a document with several terms each counts for itself.  Misspelt matches
+    have a prior of 0.75, counted as three documents, quoted ones that of QUOTED.
+    """
+    for t in chosen:
+        t.misspelt = 0.75 if len(t.text) >= ONE_EDIT else 0.0
+    found = _counted(rows, Terms(chosen, 1.0))
+    got = _totals(found)
+    a, b = got["quoted", -1, "", 1, 0], got["quoted", -1, "", 0, 0]
+    quoted = (a + QUOTED * QUOTED_PRIOR) / (a + b + QUOTED_PRIOR)
+    of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    near = found.where("kind = 'near'").groupBy("word").agg(of(1).alias("toxic"), of(0).alias("clean"))
+    reporting = near.where((F.col("clean") >= REPORTS) & (F.col("clean") >= REPORT_SHARE * (F.col("clean") + F.col("toxic")))).orderBy(F.desc("clean"), "word").limit(MAX_TERMS).collect()
+    terms = Terms(chosen, quoted, {r["word"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in reporting})
+    got = _totals(_counted(rows, terms))
     for i, t in enumerate(terms):
-        if t.misspelt:
-            t.misspelt = (got[i, 1] + 2.25) / (got[i, 0] + got[i, 1] + 3)
+        t.toxic = tuple(got["matches", i, "", 1, k] for k in range(1, COUNTED + 1))
+        t.clean = got["documents", -1, t.text[:3], 0, 0]
+        t.rate = (got["all", i, "", 0, 0] + 0.5) / (got["words", -1, t.text[:3], 0, 0] + 1000)
+        a, b = got["misspelt", i, "", 1, 0], got["misspelt", i, "", 0, 0]
+        t.misspelt = (a + 2.25) / (a + b + 3) if t.misspelt else 0.0
+        if t.misspelt < (1 - PRECISION):
+            t.misspelt = 0.0
     return terms
 
 

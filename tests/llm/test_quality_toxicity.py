@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 from runmill.llm.quality import assess
-from runmill.llm.toxicity import Lexicon, Term, learn, score_documents, without_toxic
+from runmill.llm.toxicity import Lexicon, Term, Terms, learn, score_documents, without_toxic
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,30 +38,89 @@ def test_measures_and_verdicts(spark):
     assert assess(df.limit(0)).count() == 0
 
 
-def test_one_edit_matches_brute_force():
-    terms = ["idiot", "stupid", "scum", "worthless"]
-    lexicon = Lexicon([Term(t, True, 0.9, 0.8) for t in terms] + [Term("gemei", False, 0.9)])
-    letters = "idotsupcmwrhle"
+LETTERS = "idotsupcmwrhle"
 
-    def edits(w):
-        s = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
-        return s | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
 
+def edits(w):
+    s = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in LETTERS} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in LETTERS}
+    return s | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+
+
+def distance(a, b):
+    """Changed, missing, additional and swapped characters; swapped ones are not edited again."""
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_edits_match_brute_force():
+    """One edit for terms of four letters and more, two for terms of eight and more, one within a beginning."""
+    terms, stem = ["idiot", "stupid", "scum", "worthless"], "pomed"
+    lexicon = Lexicon([Term(t, True, 0.9, 0.8) for t in terms] + [Term(stem, False, 0.9, 0.5), Term("gemei", False, 0.9)])
     r = random.Random(6)
-    for _ in range(4000):
-        w = r.choice(terms)
-        for _ in range(r.randint(0, 2)):
-            w = r.choice(sorted(edits(w)))
-        near = any(w in edits(t) for t in terms if len(t) >= 5) and w not in terms
+    for _ in range(6000):
+        t = r.choice([*terms, stem])
+        w = t
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(sorted(edits(w)) or [w])
+        if t == stem:
+            w += r.choice(["", "i", "tor"])
+        near = any(distance(x, w) <= 1 + (len(x) >= 8) for x in terms) or any(distance(stem, w[:k]) <= 1 for k in range(len(w) + 1))
         found = lexicon.match(w)
-        assert (found is not None) == (w in terms or near), w
-    assert lexicon.match("gemeiner")[1] == 4 and lexicon.match("gemeXner") is None
+        exact = w in terms or w.startswith(stem)
+        assert (found is not None) == (exact or near), w
+        assert found is None or found[2] == (not exact), w
+    assert lexicon.match("gemeiner")[1] == 5 and lexicon.match("gemeXner") is None
 
 
 def test_quotation_counts_less():
-    lexicon = Lexicon([Term("idiot", True, 0.95, 0.8)])
+    lexicon = Lexicon(Terms([Term("idiot", True, 0.95, 0.8)], 0.35, {"said": 0.6}))
     plain, quoted, reported = (lexicon.score(t) for t in ("you are an idiot there", 'the sign read "you idiot" in red', "he said that I am an idiot once"))
     assert plain >= 0.7 > reported > quoted and lexicon.score("") == lexicon.score(None) == 0
+    both = lexicon.score('the sign read "you idiot" in red ' + "and much more of other words " * 3 + "you idiot")
+    assert both >= plain
+
+
+def test_context_and_counts_are_learned_from_the_sample(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(2400):
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(50)]
+        toxic = i % 4 == 0
+        at = r.randrange(5, 45)
+        if toxic:
+            # Toxic texts use a word, or a beginning three times and more, that clean ones use now and then.
+            if i % 8:
+                words[at] = "idiot"
+            else:
+                for k in range(4):
+                    words[(at + 7 * k) % 50] = "schim" + r.choice(["pf", "pfe", "mel"])
+        elif i % 16 == 1:
+            words[at : at + 1] = ["mentions", "the", '"idiot"', "word"] if i % 32 == 1 else ["paper", "mentions", "idiot"]
+        elif i % 16 == 3:
+            words[at] = "schimmel"
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, ROWS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    terms = learn(docs, known)
+    assert "mentions" in terms.reports and terms.quoted < 0.35
+    got = [x for x in score_documents(docs, terms).collect() if x.held_out]
+    wrong = [x for x in got if x.predicted != (x.doc_id % 4 == 0)]
+    assert len(got) > 500 and len(wrong) <= 0.02 * len(got)
+
+
+def test_held_out_accuracy_on_labelled_documents(spark):
+    """Nine of 144 toxic documents of this table hold no word that tells them from clean ones."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = score_documents(docs, learn(docs, labels)).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(x.toxic, x.predicted): x["count"] for x in rows}
+    found, missed, false = n[1, 1], n.get((1, 0), 0), n.get((0, 1), 0)
+    assert found / (found + missed) >= 0.92 and found / (found + false) >= 0.97
 
 
 def corpus(spark, n=900):
