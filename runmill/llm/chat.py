@@ -17,7 +17,7 @@ covers whole; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
@@ -77,36 +77,31 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """Pairs made of a table of conversations: chosen is the conversation, rejected the same with the last turn of conversation conv_id + 1 in place of its own (none if there is none).
+def swapped_ends(conversations: DataFrame) -> DataFrame:
+    """Pairs made of a table of conversations: chosen is the conversation; rejected has its first half (n div 2 turns) and goes on with what conversation conv_id + 1 has behind as many turns (nothing if there is none).
 
-    The last turn is the greatest by (turn, role, text).
+    So the sides part in the middle and differ in length.  Turns are numbered anew
+    by (turn, role, text), null numbers first; a repeated turn counts each time.
     """
-    turn = F.struct("turn", "role", "text")
-    last = conversations.groupBy("conv_id").agg(F.max(turn).alias("last"))
-    rows = conversations.select("conv_id", turn.alias("t"))
-    body = rows.join(last, "conv_id").where(F.coalesce(F.col("t") != F.col("last"), F.lit(True)))
-    answers = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last").alias("t")).join(last.select("conv_id", F.col("last.turn").alias("at")), "conv_id")
-    pick = [F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side")]
-    return (
-        rows.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "t.*")
-        .unionByName(body.select(*pick, "t.*"))
-        .unionByName(answers.select(*pick, F.col("at").alias("turn"), "t.role", "t.text"))
-    )
+    own = Window.partitionBy("conv_id")
+    turns = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    ranked = turns.withColumn("k", F.row_number().over(own.orderBy(F.asc_nulls_first("turn"), "role", "text"))).withColumn("half", F.floor(F.count(F.lit(1)).over(own) / 2))
+    halves = ranked.groupBy("conv_id").agg(F.max("half").alias("half"))
+    ends = ranked.select((F.col("conv_id") - 1).alias("conv_id"), "k", "role", "text").join(halves, "conv_id").where("k > half")
+    pick = [F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("k").alias("turn"), "role", "text"]
+    return ranked.select(pick[0], F.lit("chosen").alias("side"), *pick[2:]).unionByName(ranked.where("k <= half").select(*pick)).unionByName(ends.select(*pick))
 
 
 OP2_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
          count(*) OVER (PARTITION BY conv_id) AS n FROM t
-), answers AS (
-  SELECT conv_id - 1 AS conv_id, role, text FROM ranked WHERE k = n
 ), rejected AS (
-  SELECT conv_id, k, role, text FROM ranked WHERE k < n
+  SELECT conv_id, k, role, text FROM ranked WHERE k <= n // 2
   UNION ALL
-  SELECT r.conv_id, r.k, a.role, a.text FROM ranked r JOIN answers a ON a.conv_id = r.conv_id WHERE r.k = r.n
+  SELECT c.conv_id, r.k, r.role, r.text FROM (SELECT conv_id, any_value(n) AS n FROM ranked GROUP BY conv_id) c JOIN ranked r ON r.conv_id = c.conv_id + 1 WHERE r.k > c.n // 2
 ), prefix AS (
   SELECT c.conv_id, coalesce(min(CASE WHEN r.k IS NULL OR c.role <> r.role OR c.text <> r.text THEN c.k END) - 1, max(c.k)) AS p
   FROM ranked c LEFT JOIN rejected r ON r.conv_id = c.conv_id AND r.k = c.k GROUP BY c.conv_id

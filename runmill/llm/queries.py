@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runmill.llm.bpe import encode_documents, round_trip_digests
-from runmill.llm.chat import OP2_SQL, format_preferences, swapped_answers
+from runmill.llm.chat import OP2_SQL, format_preferences, swapped_ends
 from runmill.llm.mixing import mix_rows
 from runmill.llm.ngram_join import join_documents
 from runmill.llm.quality import assess
@@ -30,8 +30,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as the chosen side, against itself with the next conversation's last turn."""
-    return format_preferences(swapped_answers(_table(spark, sf_dir, "conversations")))
+    """Every conversation as the chosen side, against its first half with the end of the next one."""
+    return format_preferences(swapped_ends(_table(spark, sf_dir, "conversations")))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,21 @@ def test_preferences_equal_sql(spark):
     assert sorted(map(tuple, df.collect())) == sorted(want)
 
 
+def test_preferences_equal_sql_on_odd_conversations(spark, tmp_path):
+    """Repeated turns, null numbers and roles, conversations of one turn, gaps between ids."""
+    rows = [(1, 0, "user", "A"), (1, 1, "assistant", "B"), (1, 1, "assistant", "B"), (2, None, "user", "A"), (2, None, None, None), (2, 0, "assistant", "B"), (2, 3, "assistant", "é"), (3, 0, "user", "A"), (5, 0, "user", "x"), (5, 1, "assistant", ""), (6, 0, "user", "x"), (6, 1, "assistant", "")]
+    rows += [(10 + c, t, ["user", "assistant"][t % 2], f"t{t}" if t < 4 else f"{c}{t}") for c in range(6) for t in range(3 + c)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = entry.queries()["op2_preferences"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({OP2_SQL})").fetchall())
+    by_id = {x.pair_id: x for x in got.collect()}
+    assert (by_id[5].n_prompt_turns, by_id[5].chosen, by_id[5].rejected) == (2, "", "")
+    assert by_id[14].n_prompt_turns == 4 and by_id[14].chosen.count("<|end|>") == 3 and by_id[14].rejected.count("<|end|>") == 4
+
+
 def test_longest_common_prefix_and_masks(spark):
     rows = [
         (1, "chosen", 0, "user", "hi"), (1, "rejected", 0, "user", "hi"), (1, "chosen", 1, "assistant", "A"), (1, "rejected", 1, "assistant", "Bé"), (1, "rejected", 2, "user", "?"),
