@@ -1,6 +1,7 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and sizes of plans."""
 
 from runmill.plans.durable import shared_folder
 from runmill.plans.durable import written as durable
+from runmill.plans.keys import size_in_bytes
 
-__all__ = ["durable", "shared_folder"]
+__all__ = ["durable", "shared_folder", "size_in_bytes"]

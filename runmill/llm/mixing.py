@@ -17,11 +17,6 @@ not be too many for the slots up to b, so blocks are taken at the first b that
 asks for them, those released first before others; this leaves every block a
 slot inside its window on either side.  A chunk is longer than any window.
 
-With ``period`` given, weights are rounded to multiples of 1/``period`` instead,
-one slot of the period for each source and the others by largest remainder, and
-a chunk is a period.  The deviation is then less than one block from the rounded
-weights, not from the given ones.
-
 Sources end at different times.  A slot of a source that has run out is left
 out and the later ones move up; the rows of the other sources keep the order
 and the proportions among them.  No row is dropped or repeated.
@@ -29,9 +24,8 @@ and the proportions among them.  No row is dropped or repeated.
 Cases: rows with a null source form one source of their own; an empty table
 gives an empty result; repeated rows are kept and get different positions;
 further columns pass through unchanged, whatever their names, but for those that
-``mix_rows`` adds itself, which it replaces.  With ``period`` the number of
-sources may be ``period`` at most, else the job fails with that message.  A chunk
-is as long as twice the inverse of the least weight, so its cost grows with that.
+``mix_rows`` adds itself, which it replaces.  A chunk is as long as twice the
+inverse of the least weight, so its cost grows with that.
 """
 
 from __future__ import annotations
@@ -42,6 +36,9 @@ from math import gcd, lcm
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runmill.llm.durable import durable, size_in_bytes
+from runmill.llm.skew import row_key
+
 #: Slots that are scheduled in one row, at least.
 CHUNK = 1000
 #: Tasks of the schedule.
@@ -52,8 +49,10 @@ WEIGHT_SUM = 1 << 31
 BLOCK_ROWS = 8
 #: Without given weights, a source's target weight is its number of rows to this power.
 ALPHA = 0.5
-#: Rows of a source are ranked in so many ranges of their hash.
-RANGES = 256
+#: Rows of a source are ranked in ranges of their hash, of so many rows, and in so many ranges at least.
+RANGE_ROWS, RANGES = 1 << 16, 256
+#: Bytes of a partition in the order of the mix.
+PART_BYTES = 128 << 20
 
 
 def _whole(weights: dict[str | None, float]) -> dict[str | None, int]:
@@ -67,36 +66,22 @@ def _whole(weights: dict[str | None, float]) -> dict[str | None, int]:
     return whole if total <= WEIGHT_SUM else {k: max(1, w * (WEIGHT_SUM - len(whole)) // total) for k, w in whole.items()}
 
 
-def _sources(rows: DataFrame, weights: dict[str | None, float] | None, alpha: float, period: int | None) -> DataFrame:
+def _sources(keys: DataFrame, weights: dict[str | None, float] | None, alpha: float) -> DataFrame:
     """(_mix_source, _mix_n, _mix_q, _mix_total): rows and integer weight of each source, and the sum of the weights."""
-    counts = rows.groupBy("_mix_source").agg(F.count(F.lit(1)).alias("_mix_n"))
+    counts = keys.groupBy("_mix_source").agg(F.count(F.lit(1)).alias("_mix_n"))
+    # The table has a row a source.
     all_rows = Window.partitionBy(F.lit(1))
     if weights is None:
-        want: Column = F.pow(F.col("_mix_n").cast("double"), F.lit(float(alpha)))
+        w: Column = F.pow(F.col("_mix_n").cast("double"), F.lit(float(alpha)))
+        q = F.greatest(F.lit(1), F.floor(w / F.sum(w).over(all_rows) * (WEIGHT_SUM >> 1))).cast("long")
     else:
         if any(not w > 0 for w in weights.values()):
             raise ValueError("target weights must be positive")
-        given = weights if period else _whole(weights)
-        want = F.lit(None).cast("double" if period else "long")
-        for name, w in given.items():
-            want = F.when(F.col("_mix_source") == F.lit("-" if name is None else f"+{name}"), F.lit(float(w)) if period else F.lit(w).cast("long")).otherwise(want)
-        want = F.coalesce(want, F.raise_error(F.concat(F.lit("no target weight for source "), F.col("_mix_source"))).cast("double" if period else "long"))
-    shares = counts.withColumn("w", want)
-    if period is None:
-        # The table has a row a source.
-        q = F.col("w") if weights is not None else F.greatest(F.lit(1), F.floor(F.col("w") / F.sum("w").over(all_rows) * (WEIGHT_SUM >> 1))).cast("long")
-        return shares.select("_mix_source", "_mix_n", q.alias("_mix_q")).withColumn("_mix_total", F.sum("_mix_q").over(all_rows))
-    # One slot for each source, the others by largest remainder.
-    shares = (
-        shares.withColumn("n_sources", F.count(F.lit(1)).over(all_rows))
-        .withColumn("spare", F.when(F.col("n_sources") > period, F.raise_error(F.lit(f"more than {period} sources: raise period"))).otherwise(F.lit(period) - F.col("n_sources")).cast("double"))
-        .withColumn("share", F.col("spare") * F.col("w") / F.sum("w").over(all_rows))
-        .withColumn("base", F.floor("share"))
-        .withColumn("left", F.col("spare") - F.sum("base").over(all_rows))
-        .withColumn("place", F.row_number().over(all_rows.orderBy(F.desc(F.col("share") - F.col("base")), "_mix_source")))
-    )
-    q = (1 + F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long")
-    return shares.select("_mix_source", "_mix_n", q.alias("_mix_q"), F.lit(period).cast("long").alias("_mix_total"))
+        q = F.lit(None).cast("long")
+        for name, whole in _whole(weights).items():
+            q = F.when(F.col("_mix_source") == F.lit("-" if name is None else f"+{name}"), F.lit(whole).cast("long")).otherwise(q)
+        q = F.coalesce(q, F.raise_error(F.concat(F.lit("no target weight for source "), F.col("_mix_source"))).cast("long"))
+    return counts.select("_mix_source", "_mix_n", q.alias("_mix_q")).withColumn("_mix_total", F.sum("_mix_q").over(all_rows))
 
 
 def _done(t: str) -> str:
@@ -113,14 +98,14 @@ def _done(t: str) -> str:
         took -> transform(src, (x, i) -> {fluid} + IF(array_contains(took, i), 1L, 0L)))[0]"""
 
 
-def _schedule(sources: DataFrame, block_rows: int, period: int | None) -> DataFrame:
+def _schedule(sources: DataFrame, block_rows: int) -> DataFrame:
     """The slot of every block, earliest deadline first: (_mix_source, _mix_block, _mix_release, _mix_deadline, _mix_slot, _mix_before).
 
     _mix_before is the number of rows in the slots before.  Windows are computed
     in integers: release k*total div q, deadline ((k+1)*total + q-1) div q.
     """
     one = sources.agg(F.array_sort(F.collect_list(F.struct("_mix_source", "_mix_n", "_mix_q"))).alias("src"), F.max("_mix_total").alias("total")).where(F.size("src") > 0)
-    size = f"{period}L" if period else f"greatest({CHUNK}L, 2 * ((total + array_min(transform(src, x -> x._mix_q)) - 1) div array_min(transform(src, x -> x._mix_q))) + 2)"
+    size = f"greatest({CHUNK}L, 2 * ((total + array_min(transform(src, x -> x._mix_q)) - 1) div array_min(transform(src, x -> x._mix_q))) + 2)"
     # Deadline of the last block of all.
     end = f"array_max(transform(src, x -> (((x._mix_n + {block_rows - 1}) div {block_rows}) * total + x._mix_q - 1) div x._mix_q))"
     chunks = (
@@ -168,7 +153,6 @@ def mix_rows(
     weights: dict[str | None, float] | None = None,
     alpha: float = ALPHA,
     block_rows: int = BLOCK_ROWS,
-    period: int | None = None,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` (or the columns ``carry`` of it) with _mix_block, _mix_release, _mix_deadline, _mix_slot and _mix_position.
@@ -177,36 +161,35 @@ def mix_rows(
     the row's block if no source ever ran out, _mix_release and _mix_deadline
     are the block's window; _mix_position numbers all rows from 0 without gaps.
 
-    Rows are ranked by (source, hash range): a source with a third of all rows
-    is spread over RANGES groups.  The schedule has a row a block and is joined
-    by source and block.
+    Rows are ranked by (source, hash range), ranges of about RANGE_ROWS rows, so a
+    source with a third of all rows is spread over many groups.  The schedule has
+    a row a block and is joined by source and block; carry little.
     """
-    if block_rows < 1 or (period is not None and period < 1):
-        raise ValueError("block_rows and period must be positive")
+    if block_rows < 1:
+        raise ValueError("block_rows must be positive")
     added = ["_mix_block", "_mix_release", "_mix_deadline", "_mix_slot", "_mix_position"]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in added] or ["doc_id"]
-    rows = docs.select(
-        F.struct(*carried).alias("_mix_row"),
-        F.col("doc_id").alias("_mix_id"),
-        F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-")).alias("_mix_source"),
-        F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text")).alias("_mix_hash"),
-    ).withColumn("_mix_range", F.shiftrightunsigned("_mix_hash", 56).cast("int"))
-    keys = docs.select(
-        F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-")).alias("_mix_source"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text")), 56).cast("int").alias("_mix_range"),
-    )
-    sources = _sources(keys, weights, alpha, period)
+    hash_ = F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text"))
+    source = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-"))
+    keys = docs.select(source.alias("_mix_source"), F.shiftrightunsigned(hash_, 40).alias("_mix_high"))
+    sources = _sources(keys, weights, alpha)
+    # Bits of the hash that name a range, by the size of the source: all sources have RANGES at least.  A row a source.
+    bits = F.least(F.lit(24), F.greatest(F.lit(RANGES.bit_length() - 1), F.ceil(F.log2(F.col("_mix_n") / RANGE_ROWS)))).cast("int")
+    ranged = F.broadcast(sources.select("_mix_source", bits.alias("_mix_bits")))
+    range_of = "shiftrightunsigned({0}, {1} - _mix_bits)".format
     earlier = Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most RANGES rows a source.
-    offsets = keys.groupBy("_mix_source", "_mix_range").agg(F.count(F.lit(1)).alias("c")).select("_mix_source", "_mix_range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_mix_from"))
-    within = Window.partitionBy("_mix_source", "_mix_range").orderBy(F.shiftleft("_mix_hash", 8), "_mix_id")
-    index = F.col("_mix_from") + F.col("_mix_rank") - 1
+    counts = keys.join(ranged, "_mix_source").groupBy("_mix_source", F.expr(range_of("_mix_high", 24)).alias("_mix_range")).agg(F.count(F.lit(1)).alias("c"))
+    offsets = counts.select("_mix_source", "_mix_range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_mix_from"))
+    rows = docs.select(F.struct(*carried).alias("_mix_row"), F.col("doc_id").alias("_mix_id"), source.alias("_mix_source"), hash_.alias("_mix_hash"))
+    rows = rows.join(ranged, "_mix_source").withColumn("_mix_range", F.expr(range_of("_mix_hash", 64)))
+    # With the sign turned, hashes are in the order of their high bits.
+    within = Window.partitionBy("_mix_source", "_mix_range").orderBy(F.col("_mix_hash").bitwiseXOR(F.lit(-(1 << 63))), "_mix_id")
     placed = (
         rows.withColumn("_mix_rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["_mix_source", "_mix_range"])
-        .withColumn("_mix_index", index)
+        .join(offsets, ["_mix_source", "_mix_range"])
+        .withColumn("_mix_index", F.col("_mix_from") + F.col("_mix_rank") - 1)
         .withColumn("_mix_block", F.expr(f"_mix_index div {block_rows}"))
-        .join(_schedule(sources, block_rows, period), ["_mix_source", "_mix_block"])
+        .join(_schedule(sources, block_rows), ["_mix_source", "_mix_block"])
     )
     return placed.select(
         *[F.col(f"_mix_row.`{c}`") for c in carried],
@@ -221,9 +204,16 @@ def mix_rows(
 def mix_order(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with the same rows and columns, in the order of the mix.
 
-    Ranges of positions become partitions, each sorted; files written from it
+    Places are found for keys of rows alone and written; then each row meets its
+    place by its key (rows of equal keys take theirs in any order) and goes to the
+    partition that the place names, where rows are sorted.  Files written from it
     hold consecutive pieces of the mix.
     """
-    packed = docs.select("doc_id", "text", "source", F.struct("*").alias("_whole"))
-    mixed = mix_rows(packed, carry=["_whole"], **how)
-    return mixed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select("_whole.*")
+    keyed = docs.select("doc_id", "text", "source", F.struct("*").alias("_whole")).withColumn("_key", row_key("doc_id", "text", "source"))
+    same = Window.partitionBy("_key")
+    places = durable(mix_rows(keyed, carry=["_key"], **how).select("_key", "_mix_position").withColumn("_copy", F.row_number().over(same.orderBy("_mix_position"))))
+    n = places.count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_in_bytes(docs) // PART_BYTES))
+    each = max(1, -(-n // parts))
+    rows = keyed.select("_key", "_whole").withColumn("_copy", F.row_number().over(same.orderBy(F.lit(1)))).join(places, ["_key", "_copy"])
+    return rows.repartitionById(min(parts, max(1, n)), F.expr(f"CAST(_mix_position div {each} AS INT)")).sortWithinPartitions("_mix_position").select("_whole.*")

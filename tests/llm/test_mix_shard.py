@@ -16,48 +16,32 @@ def documents(spark, n=700):
     return spark.createDataFrame(rows + rows[:20], ROWS)
 
 
-def edf(q, period):
-    """The schedule, slot by slot."""
-    done, out = [0] * len(q), []
-    for t in range(period):
-        ready = [(-(-(done[i] + 1) * period // q[i]), i) for i in range(len(q)) if done[i] < q[i] and done[i] * period // q[i] <= t]
-        _, i = min(ready)
-        done[i] += 1
-        out.append(i)
-    return out
-
-
 @pytest.mark.parametrize("weights", [None, {"a": 5, "b": 1, "c": 1, None: 0.5}])
-def test_mix_equals_the_schedule(spark, weights):
+def test_mix_of_odd_rows(spark, weights):
     df = documents(spark)
-    got = mix_rows(df.selectExpr("*", "1 AS _mix_hash", "2 AS rank"), weights, period=60, block_rows=4).orderBy("_mix_position").collect()
+    got = mix_rows(df.selectExpr("*", "1 AS _mix_hash", "2 AS rank"), weights, block_rows=4).orderBy("_mix_position").collect()
     assert [x._mix_position for x in got] == list(range(720))
     assert all(x._mix_release <= x._mix_slot < x._mix_deadline for x in got)
-    names = ["+a", "+b", "+c", "-"]
-    key = lambda x: "-" if x.source is None else "+" + x.source
-    left = {k: sum(key(x) == k for x in got) for k in names}
-    q = {k: sum(1 for s in range(60) if any(key(x) == k and x._mix_slot == s for x in got)) for k in names}
-    if all(left[k] >= 4 * 60 for k in names):
-        assert sum(q.values()) == 60
-    # Each source's blocks go by the same slots as in the plain loop.
-    full = {k: len({x._mix_slot for x in got if key(x) == k and x._mix_slot < 60}) for k in names}
-    want = edf([q[k] for k in names], 60) if sum(q.values()) == 60 else None
-    if want and full == q:
-        for x in got:
-            if x._mix_slot < 60:
-                assert names[want[x._mix_slot]] == key(x)
-
-
-def test_less_than_one_block_of_deviation(spark):
-    df = spark.range(6000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "CASE WHEN id % 10 < 6 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source", "1L AS n_chars")
-    w = {"a": 0.6, "b": 0.3, "c": 0.1}
-    got = mix_rows(df, w, period=100, block_rows=5).select("source", "_mix_slot").distinct().orderBy("_mix_slot").collect()
-    done = dict.fromkeys(w, 0)
-    q = {"a": 59, "b": 30, "c": 11}  # one slot each first, then by largest remainder
-    for t, x in enumerate(got[:900], 1):
-        assert x._mix_slot == t - 1
-        done[x.source] += 1
-        assert all(abs(done[s] - q[s] * t / 100) < 1 for s in w)
+    # Each source's blocks stand in order and hold four rows, the last one the rest; sources don't share a slot.
+    blocks = {}
+    for x in got:
+        blocks.setdefault((x.source or "", x._mix_block), []).append(x)
+    assert len({x._mix_slot for x in got}) == len(blocks)
+    for (source, k), own in blocks.items():
+        assert len({x._mix_slot for x in own}) == 1 and (len(own) == 4 or (source, k + 1) not in blocks)
+        assert k == 0 or blocks[source, k - 1][0]._mix_slot < own[0]._mix_slot
+        assert [x._mix_position for x in own] == list(range(own[0]._mix_position, own[0]._mix_position + len(own)))
+
+
+def test_ranges_by_counts_keep_the_order(spark, monkeypatch):
+    from runmill.llm import mixing
+
+    df = documents(spark)
+    want = sorted((str(x), x._mix_position) for x in mix_rows(df, carry=["doc_id", "text", "source"]).collect())
+    for rows, ranges in ((4, 1), (50, 1), (1 << 16, 64)):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", rows)
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        assert sorted((str(x), x._mix_position) for x in mix_rows(df, carry=["doc_id", "text", "source"]).collect()) == want
 
 
 @pytest.mark.parametrize("w", [{"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.6, "b": 0.399, "c": 0.001}, {"a": 17, "b": 12, "c": 3}])
@@ -90,8 +74,12 @@ def test_mixing_edges(spark):
     assert mix_rows(df.limit(0)).count() == 0
     ordered = mix_order(df)
     assert ordered.columns == df.columns and sorted(map(str, ordered.collect())) == sorted(map(str, df.collect()))
-    with pytest.raises(Exception, match="raise period"):
-        mix_rows(df, period=3).collect()
+    # Files in the order of their names hold the mix; equal rows may change places.
+    placed = mix_rows(df, carry=["doc_id", "text", "source"]).orderBy("_mix_position").collect()
+    assert [(x.doc_id, x.text, x.source) for x in ordered.collect()] == [(x.doc_id, x.text, x.source) for x in placed]
+    assert mix_order(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mix_rows(df, block_rows=0)
     with pytest.raises(Exception, match="no target weight"):
         mix_rows(df, {"a": 1}).collect()
 
