@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runmill.operators.packing import next_fit
+from runmill.plans.keys import fresh
 
 #: Bytes of the two headers, of a record's length prefix, and the longest record behind one.
 FIXED_HEADER, VAR_HEADER, PREFIX, LONGEST = 12, 8, 2, 65535
@@ -30,7 +31,8 @@ def pack_var(df: DataFrame, position: str, size: Column, block_bytes: int) -> Da
     if room <= PREFIX:
         raise ValueError(f"a block of {block_bytes} bytes holds no record")
     checked = F.when(size > LONGEST, F.raise_error(F.lit(f"a record exceeds {LONGEST} bytes")).cast("long")).otherwise(size.cast("long"))
-    packed = next_fit(df.withColumn("_bytes", checked + PREFIX), position, F.col("_bytes"), room, "block_no", oversize="raise")
+    (taken,) = fresh(df, "bytes")
+    packed = next_fit(df.withColumn(taken, checked + PREFIX), position, F.col(taken), room, "block_no", oversize="raise")
     own = Window.partitionBy("block_no").orderBy(position)
-    before = F.coalesce(F.sum("_bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return packed.withColumn("slot", (F.row_number().over(own) - 1).cast("long")).withColumn("offset", before + VAR_HEADER).drop("_bytes")
+    before = F.coalesce(F.sum(taken).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return packed.withColumn("slot", (F.row_number().over(own) - 1).cast("long")).withColumn("offset", before + VAR_HEADER).drop(taken)

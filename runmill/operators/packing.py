@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runmill.plans.keys import fresh
+
 #: Records of a chunk.
 CHUNK = 1 << 20
 
@@ -55,13 +57,22 @@ def _pack(sizes: np.ndarray, carried: int | None, first_bin: int, capacity: int)
 def _summary(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes before each record that can be the first start, and bins and left bytes from there on."""
     total = np.concatenate(([0], np.cumsum(sizes)))
-    nxt, n = _starts(total, capacity), len(sizes)
-    opened, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i in range(n - 1, -1, -1):
-        j = nxt[i]
-        opened[i], left[i] = (1, total[n] - total[i]) if j >= n else (opened[j] + 1, left[j])
+    n = len(sizes)
+    nxt = _starts(total, capacity)
+    # Jumps from start to start, doubled until all stand at their last one.
+    jump = np.where(nxt < n, nxt, np.arange(n))
+    jumps = (nxt < n).astype(np.int64)
+    while jumps[jump].any():
+        jumps, jump = jumps + jumps[jump], jump[jump]
     first = min(n, int(np.searchsorted(total, capacity, "right")))
-    return total[: first + 1], opened[:first], left[:first]
+    return total[: first + 1], jumps[:first] + 1, total[n] - total[jump[:first]]
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Rows of a list column as arrays, without Python numbers."""
+    column = column.combine_chunks()
+    values, at = column.flatten().to_numpy(), np.asarray(column.offsets)
+    return [values[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
 
 
 def next_fit(df: DataFrame, position: str, size: Column, capacity: int, name: str = "bin", chunk: int = CHUNK, oversize: str = "own") -> DataFrame:
@@ -72,39 +83,41 @@ def next_fit(df: DataFrame, position: str, size: Column, capacity: int, name: st
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    sized = df.withColumn("_size", size.cast("long")).withColumn("_chunk", F.expr(f"(`{position}` - 1) div {chunk}"))
+    p_size, p_chunk, p_carried, p_first = fresh(df, "size", "chunk", "carried", "first")
+    sized = df.withColumn(p_size, size.cast("long")).withColumn(p_chunk, F.expr(f"(`{position}` - 1) div {chunk}"))
     if oversize == "raise":
-        sized = sized.withColumn("_size", F.when(F.col("_size") > capacity, F.raise_error(F.lit(f"a record exceeds {capacity} bytes")).cast("long")).otherwise(F.col("_size")))
+        sized = sized.withColumn(p_size, F.when(F.col(p_size) > capacity, F.raise_error(F.lit(f"a record exceeds {capacity} bytes")).cast("long")).otherwise(F.col(p_size)))
 
     def summarise(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_pos")
-        before, opened, left = _summary(table["_size"].to_numpy(), capacity)
-        return pa.table({"_chunk": table["_chunk"][:1], "before": [before], "opened": [opened], "left": [left]})
+        table = table.sort_by("pos")
+        before, opened, left = _summary(table["size"].to_numpy(), capacity)
+        return pa.table({"chunk": table["chunk"][:1], "before": [before], "opened": [opened], "left": [left]})
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_chunk")
+        table = table.sort_by("chunk")
         carried, number, out = -1, 0, []
-        for before, opened, left in zip(*(table[c].to_pylist() for c in ("before", "opened", "left")), strict=True):
+        for before, opened, left in zip(*(_lists(table[c]) for c in ("before", "opened", "left")), strict=True):
             out.append((carried, number))
             if carried < 0:
-                number, carried = opened[0] - 1, left[0]
+                number, carried = int(opened[0]) - 1, int(left[0])
                 continue
             at = max(0, int(np.searchsorted(before, capacity - carried, "right")) - 1)
             if at >= len(opened):
-                carried += before[-1]
+                carried += int(before[-1])
             else:
-                number, carried = number + opened[at], left[at]
-        return pa.table({"_chunk": table["_chunk"], "_carried": pa.array([x[0] for x in out], pa.int64()), "_first": pa.array([x[1] for x in out], pa.int64())})
+                number, carried = number + int(opened[at]), int(left[at])
+        return pa.table({p_chunk: table["chunk"], p_carried: pa.array([x[0] for x in out], pa.int64()), p_first: pa.array([x[1] for x in out], pa.int64())})
 
     def assign(table: pa.Table) -> pa.Table:
         table = table.sort_by(position)
-        carried = table["_carried"][0].as_py()
-        bins, *_ = _pack(table["_size"].to_numpy(), None if carried < 0 else carried, table["_first"][0].as_py(), capacity)
-        return table.drop_columns(["_size", "_chunk", "_carried", "_first"]).append_column(name, pa.array(bins))
+        carried = table[p_carried][0].as_py()
+        bins, *_ = _pack(table[p_size].to_numpy(), None if carried < 0 else carried, table[p_first][0].as_py(), capacity)
+        return table.select(kept).append_column(name, pa.array(bins))
 
-    narrow = sized.select(F.col(position).alias("_pos"), "_size", "_chunk")
-    chunks = narrow.groupBy("_chunk").applyInArrow(summarise, "_chunk long, before array<long>, opened array<long>, left array<long>")
+    kept = [c for c in df.columns if c != name]
+    narrow = sized.select(F.col(f"`{position}`").alias("pos"), F.col(p_size).alias("size"), F.col(p_chunk).alias("chunk"))
+    chunks = narrow.groupBy("chunk").applyInArrow(summarise, "chunk long, before array<long>, opened array<long>, left array<long>")
     # One row for each chunk, with a bin's worth of numbers.
-    entry = chunks.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(lambda t: fold(t.drop_columns(["_all"])), "_chunk long, _carried long, _first long")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    return sized.join(entry, "_chunk").groupBy("_chunk").applyInArrow(assign, schema)
+    entry = chunks.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: fold(t.drop_columns(["all"])), f"`{p_chunk}` long, `{p_carried}` long, `{p_first}` long")
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, T.LongType())])
+    return sized.join(entry, p_chunk).groupBy(p_chunk).applyInArrow(assign, schema)

@@ -1,7 +1,8 @@
 """Bounded FIFO queues as data: which operations of a trace are accepted, and what comes out.
 
 A queue never blocks: an enqueue into a full queue is refused as ``full``, a
-dequeue from an empty one as ``empty``.
+dequeue from an empty one as ``empty``.  Further columns may have any names, but for
+the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,19 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runmill.operators.sort import Key, with_position
-from runmill.plans.keys import orders, sort_keys
+from runmill.plans.keys import fresh, orders, sort_keys
 
 
 def fill(df: DataFrame, capacity: int, *arrival: Key, queue: str | None = None) -> DataFrame:
     """Enqueues only: the first ``capacity`` rows (of each queue) are ``ok``, the others ``full``; ``slot`` is an accepted row's place."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    (at,) = fresh(df, "at")
     if queue is None:
-        ranked = with_position(df, *arrival, name="_at")
+        ranked = with_position(df, *arrival, name=at)
     else:
-        ranked = df.withColumn("_at", F.row_number().over(Window.partitionBy(queue).orderBy(*orders(sort_keys(*arrival)))).cast("long"))
-    ok = F.col("_at") <= capacity
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], F.when(ok, "ok").otherwise("full").alias("status"), F.when(ok, F.col("_at") - 1).alias("slot"))
+        ranked = df.withColumn(at, F.row_number().over(Window.partitionBy(queue).orderBy(*orders(sort_keys(*arrival)))).cast("long"))
+    ok = F.col(at) <= capacity
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("status", "slot")], F.when(ok, "ok").otherwise("full").alias("status"), F.when(ok, F.col(at) - 1).alias("slot"))
 
 
 def replay(trace: DataFrame, capacity: int) -> DataFrame:

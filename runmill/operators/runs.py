@@ -37,5 +37,5 @@ def chunks_of_runs(df: DataFrame, arrive: str, parts: int, run: str = "run_id",
         raise ValueError("parts must be positive")
     of_run = Window.partitionBy(run)
     at = F.row_number().over(of_run.orderBy(arrive)) - 1
-    n = F.count(F.lit(1)).over(of_run)
-    return df.withColumn("_at", at).withColumn("_n", n).withColumn(name, F.expr(f"CAST(_at div ((_n + {parts - 1}) div {parts}) AS BIGINT)")).drop("_at", "_n")
+    size = F.ceil(F.count(F.lit(1)).over(of_run) / parts)
+    return df.withColumn(name, F.floor(at / size).cast("long"))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runmill.plans.durable import written
-from runmill.plans.keys import SortKey, orders, size_in_bytes, sort_keys
+from runmill.plans.keys import SortKey, at_most, orders, sort_keys
 
-#: Inputs that Catalyst estimates at no more are ranked by one task, without a write.
+#: Inputs of no more (see at_most) are ranked by one task, without a write.
 ONE_TASK_BYTES = 64 << 20
 #: monotonically_increasing_id holds the partition above, and the row of the partition in, this many bits.
 _ROW_BITS = 33
@@ -42,18 +42,20 @@ def with_position(df: DataFrame, *keys: Key, name: str = "pos", one_task_bytes:
     A small input is ranked in one task.  A larger one is range partitioned and
     sorted, and written with each row's number in its partition; the rows before
     each partition (a row for each partition) are added when it is read back.
-    The write fixes the ranges, which are sampled anew by every job.
+    The write fixes the ranges, which are sampled anew by every job.  A column of
+    that name is replaced; columns may have any other names.
     """
     by = sort_keys(*keys)
-    if size_in_bytes(df) <= one_task_bytes:
+    if at_most(df, one_task_bytes):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*orders(by))).cast("long"))
-    # Ranges end inside runs of equal keys, too: ties are spread by a hash of the row.
-    spread = [*orders(by), F.xxhash64(*df.columns).asc()]
-    ranged = df.repartitionByRange(*spread).sortWithinPartitions(*spread)
-    rows = written(ranged.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", _ROW_BITS)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col("_before") + 1
+    # Ranges end inside runs of equal keys, too: ties are spread by a hash of the row (of what can be hashed).
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    packed = df.select(F.struct("*").alias("row"), *[k.column().alias(f"key{i}") for i, k in enumerate(by)], (F.xxhash64(*plain) if plain else F.lit(0)).alias("spread"))
+    spread = [*[SortKey(f"key{i}", k.ascending, k.nulls_first).order() for i, k in enumerate(by)], F.asc("spread")]
+    ranged = packed.repartitionByRange(*spread).sortWithinPartitions(*spread)
+    rows = written(ranged.select("row", F.monotonically_increasing_id().alias("id"))).select("row", "id", F.shiftright("id", _ROW_BITS).alias("part"))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    at = F.col("id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + F.col("before") + 1
     # One row for each shuffle partition.
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(*[F.col(f"`{c}`") for c in df.columns], at.alias(name))
+    return rows.join(F.broadcast(before), "part").select(*[F.col(f"row.`{c}`") for c in df.columns if c.lower() != name.lower()], at.alias(name))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -45,6 +46,26 @@ def orders(keys: Sequence[SortKey]) -> list[Column]:
     return [k.order() for k in keys]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Operators whose number of rows Catalyst only guesses.
+_GUESSED = re.compile(r"^[ :+-]*(?:Generate|Expand|Join|MapIn|FlatMap|MapPartitions|MapGroups|CoGroup|Sample|Python|LogicalRDD)", re.MULTILINE)
+
+
+def at_most(df: DataFrame, limit: int) -> bool:
+    """Whether a plan's rows are proven to take no more bytes: by the size of what it scans, where nothing multiplies rows."""
+    return size_in_bytes(df) <= limit and not _GUESSED.search(df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size: what a decision for a small plan is checked against."""
+    """Catalyst's estimate of a plan's size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

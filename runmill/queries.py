@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runmill.functions.blocks import pack_fixed, pack_var
-from runmill.functions.codec import decode_rectangles, encode_rectangles, int32_bytes, int64_bytes, rectangle, rectangle_bytes
+from runmill.functions.codec import decode_rectangles, encode_rectangles, int32_bytes, int32_value, int64_bytes, int64_value, rectangle, rectangle_bytes
 from runmill.operators.merge import merge_plan, merge_sorted
 from runmill.operators.queue import fill, replay
 from runmill.operators.runs import chunks_of_runs, runs_fixed, runs_next_fit, sort_within_runs
 from runmill.operators.sort import sort, top, with_position
-from runmill.operators.storage import Storage, StorageManager
-from runmill.plans.durable import shared_folder
+from runmill.operators.storage import Storage, StorageManager, get_bytes, set_bytes, zero_page
+from runmill.plans.durable import new_path, written
 from runmill.plans.keys import asc, desc
 from runmill.sources.blocks import register
-from runmill.streaming.log import numbered
+from runmill.streaming.log import Log
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -97,6 +95,13 @@ def sort_ranged(spark, sf_dir):
     return with_position(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", one_task_bytes=-1)
 
 
+@_query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos, o_totalprice, o_orderkey FROM orders")
+def sort_total(spark, sf_dir):
+    """The sort itself: places are read off its partitions and the rows' order in them."""
+    rows = sort(_t(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), desc("o_totalprice"), "o_orderkey")
+    return with_position(written(rows.withColumn("at", F.monotonically_increasing_id())), "at").drop("at")
+
+
 @_query("SELECT o_orderkey FROM orders WHERE false")
 def sort_empty(spark, sf_dir):
     return sort(_t(spark, sf_dir, "orders").select("o_orderkey").where("false"), "o_orderkey")
@@ -147,7 +152,7 @@ def run_chunks(spark, sf_dir):
 @_query("SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, CAST(o_orderkey % 5 AS INTEGER) AS source, o_orderkey FROM orders")
 def kway_merge(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select("o_orderkey")
-    return merge_sorted([sort(rows.where(F.col("o_orderkey") % 5 == i), "o_orderkey") for i in range(5)], "o_orderkey").select("pos", "source", "o_orderkey")
+    return merge_sorted([rows.where(F.col("o_orderkey") % 5 == i) for i in range(5)], "o_orderkey").select("pos", "source", "o_orderkey")
 
 
 @_query(
@@ -201,24 +206,46 @@ def block_pack_varlen(spark, sf_dir):
 
 
 def _round_trip(spark: SparkSession, rows: DataFrame, kind: str, size: int, codec: str) -> DataFrame:
+    """Rows (position from 1, value) in FILES files, written and read again: (value, file_no, block_no, slot)."""
     register(spark)
-    base = shared_folder(spark).removeprefix("file:")
-    path = tempfile.mkdtemp(prefix=f"{kind}-", dir=base)
-    shutil.rmtree(path)
-    rows.write.format(kind).option("blockSize", size).option("codec", codec).mode("overwrite").save(path)
-    return spark.read.format(kind).option("blockSize", size).option("codec", codec).load(path)
+    each = F.lit(-(-rows.count() // FILES))
+    path = new_path(spark, kind)
+    placed = rows.withColumn("file_no", F.floor((F.col("pos") - 1) / each).cast("int"))
+    placed.repartitionById(FILES, "file_no").sortWithinPartitions("pos").select(rows.columns[1]).write.format(kind).option("blockSize", size).option("codec", codec).mode("overwrite").save(path)
+    read = spark.read.format(kind).option("blockSize", size).option("codec", codec).load(path)
+    return read.select("value", F.substring("file", 6, 5).cast("int").alias("file_no"), "block_no", "slot")
 
 
-@_query("SELECT o_orderkey FROM orders")
+#: Files of the block queries.
+FILES = 3
+
+
+@_query(
+    """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, (count(*) OVER () + 2) // 3 AS n FROM orders)
+    SELECT o_orderkey, CAST(i // n AS INTEGER) AS file_no, (i % n) // 510 AS block_no, (i % n) % 510 AS slot FROM p"""
+)
 def block_roundtrip_fixed(spark, sf_dir):
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey")
-    return _round_trip(spark, rows, "fixedblock", 4096, "int64").select(F.col("value").alias("o_orderkey"))
+    rows = with_position(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("pos", "o_orderkey")
+    return _round_trip(spark, rows, "fixedblock", 4096, "int64").withColumnRenamed("value", "o_orderkey")
 
 
-@_query("SELECT c_name FROM customer")
+@_query(
+    """WITH RECURSIVE p AS (
+      SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS i, (count(*) OVER () + 2) // 3 AS n FROM customer
+    ), d AS (
+      SELECT c_name, i // n AS file_no, i % n AS k, 2 + octet_length(encode(c_name)) AS size FROM p
+    ), r AS (
+      SELECT c_name, file_no, k, 8 + size AS used, 0::BIGINT AS block_no, 0::BIGINT AS slot FROM d WHERE k = 0
+      UNION ALL
+      SELECT d.c_name, d.file_no, d.k, CASE WHEN r.used + d.size > 4096 THEN 8 + d.size ELSE r.used + d.size END,
+        CASE WHEN r.used + d.size > 4096 THEN r.block_no + 1 ELSE r.block_no END,
+        CASE WHEN r.used + d.size > 4096 THEN 0 ELSE r.slot + 1 END
+      FROM r JOIN d ON d.file_no = r.file_no AND d.k = r.k + 1
+    ) SELECT c_name, CAST(file_no AS INTEGER) AS file_no, block_no, slot FROM r"""
+)
 def block_roundtrip_var(spark, sf_dir):
-    rows = _t(spark, sf_dir, "customer").select("c_name")
-    return _round_trip(spark, rows, "varblock", 4096, "text").select(F.col("value").alias("c_name"))
+    rows = with_position(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("pos", "c_name")
+    return _round_trip(spark, rows, "varblock", 4096, "text").withColumnRenamed("value", "c_name")
 
 
 @_query(
@@ -235,6 +262,54 @@ def codec_int32(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.hex(int32_bytes("p_size")).alias("plus"), F.hex(int32_bytes(-F.col("p_size"))).alias("minus"))
 
 
+@_query(
+    """SELECT o_orderkey, CAST(CASE WHEN v >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE v END AS BIGINT) AS value, o_orderkey * -1000000007 AS again
+    FROM (SELECT o_orderkey, CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16) AS UBIGINT) AS HUGEINT) AS v FROM orders)"""
+)
+def codec_int64_decode(spark, sf_dir):
+    """Any eight bytes, and bytes of the own encoding."""
+    data = F.unhex(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 16))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", int64_value(data).alias("value"), int64_value(int64_bytes(F.col("o_orderkey") * -1000000007)).alias("again"))
+
+
+@_query(
+    """SELECT p_partkey, CAST(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END AS INTEGER) AS value, -p_size AS again
+    FROM (SELECT p_partkey, p_size, CAST(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS UBIGINT) AS BIGINT) AS v FROM part)"""
+)
+def codec_int32_decode(spark, sf_dir):
+    data = F.unhex(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 8))
+    return _t(spark, sf_dir, "part").select("p_partkey", int32_value(data).alias("value"), int32_value(int32_bytes(-F.col("p_size"))).alias("again"))
+
+
+@_query(
+    """SELECT c_custkey, '00000000' || rpad(hex(c_name), 120, '0') AS page, substr(hex(c_name), 1, 16) AS got FROM customer"""
+)
+def page_bytes(spark, sf_dir):
+    """A zero page of 64 bytes, a name set at byte 4, and its first eight bytes got again."""
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", set_bytes(zero_page(64), 4, F.encode("c_name", "UTF-8")).alias("page"))
+    return rows.select("c_custkey", F.hex("page").alias("page"), F.hex(get_bytes(F.col("page"), 4, 8)).alias("got"))
+
+
+@_query(
+    """WITH batch AS (
+      SELECT o_custkey AS block_nr, arg_max(o_orderkey, o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey
+      UNION ALL SELECT (SELECT max(c_custkey) + 1 FROM customer) + s_suppkey, -s_suppkey FROM supplier
+    ) SELECT coalesce(b.block_nr, c_custkey) AS block_nr, coalesce(b.o_orderkey, 0) AS data, c_name IS NULL AS added
+    FROM customer FULL JOIN batch b ON b.block_nr = c_custkey"""
+)
+def page_write(spark, sf_dir):
+    """Pages that are new, that are there, and that come several times in a batch: the last write counts."""
+    customers, suppliers = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    manager = StorageManager()
+    manager.register(Storage("pages", customers.select(F.col("c_custkey").alias("block_nr"), int64_bytes(F.lit(0)).alias("data"), F.lit(False).alias("added")), block_bytes=8))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("block_nr"), "o_orderkey")
+    top_page = customers.agg((F.max("c_custkey") + 1).alias("top"))
+    new = suppliers.crossJoin(F.broadcast(top_page)).select((F.col("top") + F.col("s_suppkey")).alias("block_nr"), (-F.col("s_suppkey")).alias("o_orderkey"))
+    batch = rows.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))
+    manager.write("pages", batch.select("block_nr", int64_bytes("o_orderkey").alias("data"), "added", F.col("o_orderkey").alias("step")), "step")
+    return manager.get("pages").pages.select("block_nr", int64_value("data").alias("data"), "added")
+
+
 @_query(
     """SELECT block_nr, slot, o_orderkey FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 14 AS block_nr,
       (row_number() OVER (ORDER BY o_orderkey) - 1) % 14 AS slot, o_orderkey FROM orders) WHERE block_nr = 3"""
@@ -258,16 +333,23 @@ def storage_route(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-@_query("SELECT max(o_orderkey) + 1 AS block_nr FROM orders")
+@_query(
+    """SELECT o_orderkey AS block_nr, NULL AS page FROM orders UNION ALL SELECT max(o_orderkey) + 1, repeat('00', 32) FROM orders
+    UNION ALL SELECT max(o_orderkey) + 2, repeat('00', 16) FROM orders"""
+)
 def page_reserve(spark, sf_dir):
-    return Storage("orders", _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_nr"), F.lit(None).cast("binary").alias("data"))).reserve(32)
+    """All pages after two more were reserved."""
+    storage = Storage("orders", _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_nr"), F.lit(None).cast("binary").alias("data")))
+    storage.reserve(32)
+    storage.reserve(16)
+    return storage.pages.select("block_nr", F.hex("data").alias("page"))
 
 
 @_query("SELECT o_orderkey, CASE WHEN o_orderkey < 4 THEN o_custkey + 10 ELSE o_custkey END AS o_custkey FROM orders")
 def page_update_flush(spark, sf_dir):
     storage = Storage("orders", _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     storage.update([0, 1, 2, 3], {"o_custkey": lambda c: c + 10})
-    path = f"{shared_folder(spark)}/flushed"
+    path = new_path(spark, "flushed")
     storage.flush(path)
     return spark.read.parquet(path)
 
@@ -281,16 +363,44 @@ def page_delete(spark, sf_dir):
 
 
 @_query(
-    """SELECT i AS step, o_orderkey, o_custkey FROM (SELECT unnest(range(1000)) AS i) JOIN orders ON o_orderkey = 1 + i % 100"""
+    """SELECT p.pos + r * (SELECT count(*) FROM orders) AS step, o_orderkey, o_custkey
+    FROM (SELECT row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS pos, o_orderkey, o_custkey FROM orders) p, (SELECT unnest(range(2)) AS r)"""
 )
 def cached_rescan(spark, sf_dir):
-    storage = Storage("orders", _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where("o_orderkey <= 100"), "o_orderkey").cache()
-    return storage.access(spark.range(1000).select(F.col("id").alias("step"), F.expr("1 + id % 100").alias("o_orderkey"))).select("step", "o_orderkey", "o_custkey")
+    """Every page is accessed twice, in a shuffled order."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    storage = Storage("orders", orders, "o_orderkey").cache()
+    n = orders.count()
+    trace = _arrived(orders.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.explode(F.array(F.col("arrive"), F.col("arrive") + n)).alias("step"))
+    return storage.access(trace).select("step", "o_orderkey", "o_custkey")
 
 
-@_query("SELECT lsn, event_id FROM (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS lsn, event_id FROM events) WHERE lsn <= 500")
+@_query(
+    """SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS lsn, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 <= (SELECT count(*) FROM events) // 2 AS early FROM events"""
+)
 def log_append_scan(spark, sf_dir):
-    return numbered(_t(spark, sf_dir, "events").select("ts", "event_id"), "ts", "event_id").where("lsn <= 500").select("lsn", "event_id")
+    """All events are appended in two halves by id, the log is flushed up to the middle, scanned, flushed and scanned again."""
+    log = Log(spark, new_path(spark, "log"))
+    events = _t(spark, sf_dir, "events").select("ts", "event_id")
+    last = log.append(events, F.col("event_id").cast("string"), "ts", "event_id")
+    log.flush((last + 1) // 2)
+    early = log.scan().select("lsn", F.lit(True).alias("early"))
+    log.flush()
+    return log.scan().join(early, "lsn", "left").select("lsn", F.decode("entry", "UTF-8").cast("long").alias("event_id"), F.coalesce("early", F.lit(False)).alias("early"))
+
+
+@_query(
+    """SELECT row_number() OVER (ORDER BY q, ts, event_id) - 1 AS lsn, event_id
+    FROM (SELECT ts, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS q FROM events)"""
+)
+def log_two_appends(spark, sf_dir):
+    """Numbers go on where the append before ended."""
+    log = Log(spark, new_path(spark, "log"))
+    events = _t(spark, sf_dir, "events")
+    for part in (events.where("event_type != 'purchase'"), events.where("event_type = 'purchase'")):
+        log.append(part.select("ts", "event_id"), F.col("event_id").cast("string"), "ts", "event_id")
+    log.flush()
+    return log.scan().select("lsn", F.decode("entry", "UTF-8").cast("long").alias("event_id"))
 
 
 @_query(
@@ -323,9 +433,10 @@ def queue_replay(spark, sf_dir):
     return replay(trace.select("queue", "step", op.alias("op"), F.col("event_id").alias("value")), 4).withColumn("result", F.coalesce("result", F.lit(-1)))
 
 
-def _boxes(spark: SparkSession, sf_dir: str, d: int = 4) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    return _t(spark, sf_dir, "embeddings").select("vec_id", rectangle(F.slice(v, 1, d), F.slice(v, d + 1, d)).alias("box"))
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a box: its first half is one corner, its second half the other."""
+    v, d = F.col("embedding").cast("array<double>"), F.floor(F.size("embedding") / 2).cast("int")
+    return _t(spark, sf_dir, "embeddings").select("vec_id", rectangle(F.slice(v, F.lit(1), d), F.slice(v, d + 1, d)).alias("box"))
 
 
 def _axes(df: DataFrame, *more: str) -> DataFrame:
@@ -334,15 +445,15 @@ def _axes(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
-@_query(
-    """SELECT vec_id, i AS axis, CAST(embedding[i + 1] AS DOUBLE) AS low, CAST(embedding[i + 5] AS DOUBLE) AS up, CAST(2 + 16 * 4 AS BIGINT) AS bytes
-    FROM embeddings, (SELECT unnest(range(4)) AS i)"""
-)
+_AXES = "(SELECT vec_id, embedding, len(embedding) // 2 AS d, unnest(range(len(embedding) // 2)) AS i FROM embeddings)"
+
+
+@_query(f"SELECT vec_id, i AS axis, CAST(embedding[i + 1] AS DOUBLE) AS low, CAST(embedding[i + 1 + d] AS DOUBLE) AS up, CAST(2 + 16 * d AS BIGINT) AS bytes FROM {_AXES}")
 def rect_build_size(spark, sf_dir):
     return _axes(_boxes(spark, sf_dir).withColumn("bytes", rectangle_bytes("box")), "bytes")
 
 
-@_query("SELECT vec_id, i AS axis, CAST(embedding[i + 1] AS DOUBLE) AS low, CAST(embedding[i + 5] AS DOUBLE) AS up FROM embeddings, (SELECT unnest(range(4)) AS i)")
+@_query(f"SELECT vec_id, i AS axis, CAST(embedding[i + 1] AS DOUBLE) AS low, CAST(embedding[i + 1 + d] AS DOUBLE) AS up FROM {_AXES}")
 def rect_codec_roundtrip(spark, sf_dir):
     data = encode_rectangles(_boxes(spark, sf_dir), "box").select("vec_id", "data")
     return _axes(decode_rectangles(data, "data"))

@@ -23,6 +23,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -65,6 +67,14 @@ class FixedBlock:
         for i in range(n):
             yield data[FIXED_HEADER + i * width : FIXED_HEADER + (i + 1) * width]
 
+    @staticmethod
+    def body(data: bytes, width: int) -> tuple[int, list[bytes]]:
+        """The number of records of that width, and all of them in one piece."""
+        n, _, own = struct.unpack_from(">III", data)
+        if own != width or FIXED_HEADER + n * width > len(data):
+            raise ValueError("a block's header tells of other records than it holds")
+        return n, [data[FIXED_HEADER : FIXED_HEADER + n * width]]
+
 
 class VarBlock:
     """One block of records with length prefixes."""
@@ -99,6 +109,12 @@ class VarBlock:
                 raise ValueError("a record reaches beyond its block")
             yield data[at - size : at]
 
+    @staticmethod
+    def body(data: bytes, width: None) -> tuple[int, list[bytes]]:
+        """The number of records, and the records."""
+        records = list(VarBlock.read(data))
+        return len(records), records
+
 
 @dataclass
 class BlockRange(InputPartition):
@@ -127,16 +143,18 @@ class _Reader(DataSourceReader):
             out += [BlockRange(name, a, min(a + self.per_task, length // self.size)) for a in range(0, length // self.size, self.per_task)]
         return out
 
-    def read(self, part: BlockRange) -> Iterator[tuple]:
-        decode = CODECS[self.codec].decode
+    def read(self, part: BlockRange) -> Iterator[pa.RecordBatch]:
+        """A batch for each block."""
+        codec = CODECS[self.codec]
         with open(part.path, "rb") as f:
             f.seek(part.first * self.size)
             for number in range(part.first, part.last):
                 data = f.read(self.size)
                 if len(data) < self.size:
                     raise ValueError(f"{part.path} ends inside a block")
-                for slot, record in enumerate(self.block.read(data)):
-                    yield decode(record), os.path.basename(part.path), number, slot
+                n, records = self.block.body(data, codec.width)
+                file = pa.array([os.path.basename(part.path)] * n, pa.string())
+                yield pa.RecordBatch.from_arrays([codec.decode(records), file, pa.array(np.full(n, number)), pa.array(np.arange(n))], names=["value", "file", "block_no", "slot"])
 
 
 class _Writer(DataSourceWriter):
@@ -191,7 +209,10 @@ class _Source(DataSource):
             raise ValueError(f"{self.name()} has no codec {codec}")
         if "path" not in self.options:
             raise ValueError("a path is needed")
-        return self.options["path"], self.block, int(self.options.get("blocksize", self.options.get("blockSize", 4096))), codec
+        path = self.options["path"].removeprefix("file://").removeprefix("file:")
+        if "://" in path:
+            raise ValueError(f"{path}: block files lie on storage that driver and executors mount alike")
+        return path, self.block, int(self.options.get("blocksize", self.options.get("blockSize", 4096))), codec
 
     def schema(self) -> str:
         return f"value {_KINDS[self._how()[3]]}, file string, block_no long, slot long"

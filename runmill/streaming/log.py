@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from runmill.operators.sort import Key, with_position
+from runmill.plans.durable import written
+from runmill.plans.keys import fresh
 
 SCHEMA = "lsn long, entry binary"
 
@@ -46,18 +48,28 @@ class Log:
 
     def append(self, entries: DataFrame, entry: Column, *order: Key) -> int:
         """Number entries and hold them until a flush; returns the last number."""
-        rows = numbered(entries, *order, after=self.last()).select("lsn", entry.cast("binary").alias("entry"))
+        # Written here, so that a flush finds the numbers that were counted.
+        (name,) = fresh(entries, "entry")
+        rows = written(numbered(entries.withColumn(name, entry.cast("binary")), *order, after=self.last()).select("lsn", F.col(name).alias("entry")))
         self._last = self.last() + rows.count()
         self._pending.append(rows)
         return self._last
 
     def flush(self, upto: int | None = None) -> None:
-        """Write held entries up to a number (default: all)."""
-        held, self._pending = self._pending, []
-        for rows in held:
-            (rows if upto is None else rows.where(F.col("lsn") <= upto)).write.mode("append").parquet(f"{self.path}/entries")
-            if upto is not None:
-                self._pending.append(rows.where(F.col("lsn") > upto))
+        """Write held entries up to a number (default: all).
+
+        What is written goes from the held ones afterwards; a flush that failed can be
+        run again, since the entries of an append are written to a folder of their own.
+        """
+        left = []
+        for rows in self._pending:
+            now = rows if upto is None else rows.where(F.col("lsn") <= upto)
+            first = now.agg(F.min("lsn")).first()[0]
+            if first is not None:
+                now.write.mode("overwrite").parquet(f"{self.path}/from={first}")
+            if upto is not None and not (later := rows.where(F.col("lsn") > upto)).isEmpty():
+                left.append(later)
+        self._pending = left
 
     def scan(self, upto: int | None = None) -> DataFrame:
         """Flushed entries up to a number, in order."""

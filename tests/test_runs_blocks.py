@@ -131,3 +131,30 @@ def test_rectangles(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0]), ([], [])], "l array<double>, u array<double>").select(rectangle(F.col("l"), F.col("u")).alias("box"))
     got = decode_rectangles(encode_rectangles(df, "box"), "data", "again").collect()
     assert all(x.box == x.again for x in got)
+
+
+def test_packing_keeps_columns_of_any_names(spark):
+    df = spark.createDataFrame([(i + 1, 3, i, -i, "x", {"k": i}) for i in range(20)], "pos long, _size long, size long, _chunk long, chunk string, all map<string,long>")
+    got = next_fit(df, "pos", F.col("_size"), 10, chunk=4).orderBy("pos").collect()
+    assert [x["bin"] for x in got] == [i // 3 for i in range(20)] and [(x.size, x._chunk, x.chunk, x["all"]) for x in got] == [(i, -i, "x", {"k": i}) for i in range(20)]
+    runs = chunks_of_runs(runs_fixed(df.withColumn("_at", F.lit(1)).withColumn("_n", F.lit(2)), "pos", 40, 4), "pos", 4, name="part")
+    assert {(x._at, x._n) for x in runs.collect()} == {(1, 2)} and [x.part for x in runs.orderBy("pos").limit(10).collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
+    packed = pack_var(df.withColumn("_bytes", F.lit(5)), "pos", F.col("_size"), 32)
+    assert {x._bytes for x in packed.collect()} == {5}
+
+
+def test_rectangles_of_mixed_dimensions_and_nulls(spark):
+    rows = [([1.0, -0.0], [float("inf"), float("nan")]), None, ([], []), ([5e-324] * 3, [2.0] * 3), ([1.5], [2.5])] * 3
+    df = spark.createDataFrame([(i, None if r is None else {"dimension": len(r[0]), "low_left": r[0], "up_right": r[1]}) for i, r in enumerate(rows)], "id long, box struct<dimension:int,low_left:array<double>,up_right:array<double>>")
+    got = decode_rectangles(encode_rectangles(df, "box"), "data", "again").orderBy("id").collect()
+    for r, x in zip(rows, got, strict=True):
+        assert (x.data is None and x.again is None) if r is None else (bytes(x.data) == encode_rectangle(*r) and str(x.again) == str(x.box))
+    short = spark.createDataFrame([(encode_rectangle([1.0], [2.0])[:-1],)], "data binary")
+    with pytest.raises(Exception, match="needs 18 bytes"):
+        decode_rectangles(short, "data").collect()
+
+
+def test_block_files_lie_on_a_mount(spark):
+    register(spark)
+    with pytest.raises(Exception, match="mount alike"):
+        spark.read.format("fixedblock").option("blockSize", 64).load("s3://x/y").collect()

@@ -73,3 +73,35 @@ def test_spilling_sort_keeps_all_rows(spark):
     rows = spark.range(200_000).select(F.xxhash64("id").alias("v"))
     got = sort(rows, "v").selectExpr("v", "lag(v) OVER (ORDER BY v) AS b").where("b > v").count()
     assert got == 0 and sort(rows, "v").count() == 200_000
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 40])
+def test_columns_of_any_names_stay(spark, limit):
+    rows = [(10 * i, i % 3, str(i), {"k": i}, i / 2, [i]) for i in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "_id long, _part long, _before string, row map<string,long>, `a.b` double, spread array<long>")
+    got = with_position(df, desc("_id"), one_task_bytes=limit).orderBy("pos").collect()
+    assert [tuple(x) for x in got] == [(*r, i) for i, r in enumerate(sorted(rows, reverse=True), 1)]
+    assert [x.pos for x in with_position(df.withColumn("pos", F.lit(7)), "_id", one_task_bytes=limit).orderBy("_id").collect()] == [1, 2, 3]
+    # Only a map, which can't be hashed.
+    maps = spark.createDataFrame([({"k": i},) for i in range(3)], "m map<string,long>")
+    assert sorted(x.pos for x in with_position(maps, F.col("m")["k"], one_task_bytes=limit).collect()) == [1, 2, 3]
+
+
+def test_a_small_input_is_proven(spark):
+    from runmill.plans.keys import at_most
+
+    small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey")
+    assert at_most(small, 1 << 26) and not at_most(small, 10)
+    # Plans that multiply rows have no proven size.
+    assert not at_most(small.select(F.explode(F.sequence(F.lit(1), F.col("o_orderkey"))).alias("x")), 1 << 26)
+    assert not at_most(small.join(small.withColumnRenamed("o_orderkey", "b"), F.col("o_orderkey") > F.col("b")), 1 << 26)
+
+
+def test_tables_are_released(spark):
+    from runmill.plans.durable import release, written
+
+    df = written(spark.range(5))
+    assert df.count() == 5
+    release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()

@@ -104,3 +104,60 @@ def test_bounded_queue(spark):
     assert [(x.status, x["size"]) for x in got] == want
     filled = fill(df.select("step"), 4, "step").orderBy("step").collect()
     assert [x.slot for x in filled] == [0, 1, 2, 3] + [None] * 11
+
+
+def test_the_last_write_of_a_batch_counts(spark):
+    s = Storage("a", spark.createDataFrame([(1, b"old!")], "block_nr long, data binary"), block_bytes=4)
+    s.write(spark.createDataFrame([(1, b"one!", 1), (1, b"two!", 2), (5, b"new!", 0)], "block_nr long, data binary, at int"), "at")
+    assert {x.block_nr: bytes(x.data) for x in s.pages.collect()} == {1: b"two!", 5: b"new!"}
+    s.write(spark.createDataFrame([(1, b"x"), (1, b"x")], "block_nr long, data binary"))
+    with pytest.raises(Exception, match="hasn't 4 bytes"):
+        s.pages.collect()
+
+
+def test_missing_pages_are_errors(spark):
+    s = Storage("a", pages(spark))
+    assert [x.value for x in s.fetch(2, 5).orderBy("value").collect()] == [2, 5] and s.read(2, 77).count() == 1
+    with pytest.raises(Exception, match="no page 77"):
+        s.fetch(2, 77).collect()
+    with pytest.raises(KeyError):
+        s.delete(spark.createDataFrame([(0,), (77,)], "block_nr long"), strict=True)
+    assert s.pages.count() == 8
+    data = Storage("d", spark.createDataFrame([(0, b"abc")], "block_nr long, data binary"))
+    assert bytes(data.fix_empty(0, 8).first().data) == bytes(8) and data.pages.count() == 1
+
+
+def test_a_storage_is_flushed_to_where_it_reads(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages(spark).write.parquet(path)
+    s = Storage("a", spark.read.parquet(path))
+    for i in range(20):
+        s.update([i % 8], {"value": lambda v: v + 100})
+    s.flush(path)
+    before = sorted(tmp_path.joinpath("pages").iterdir())
+    assert sum(x.value for x in spark.read.parquet(path).collect()) == sum(range(8)) + 2000
+    s.flush(path)
+    assert sorted(tmp_path.joinpath("pages").iterdir()) == before
+    s.delete(spark.createDataFrame([(0,)], "block_nr long"))
+    s.flush(path)
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_a_log_numbers_ties_once_and_can_flush_again(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    ties = spark.createDataFrame([(1, str(i)) for i in range(200)], "v long, _entry string")
+    assert log.append(ties, F.col("_entry"), "v") == 199 and log.append(ties.limit(5), F.col("_entry"), "v") == 204
+    log.flush(100)
+    log.flush(150)
+    log.flush(150)
+    assert [x.lsn for x in log.scan().collect()] == list(range(151))
+    log.flush()
+    got = log.scan().collect()
+    assert [x.lsn for x in got] == list(range(205)) and sorted(int(x.entry) for x in got[:200]) == list(range(200))
+
+
+def test_queue_columns_of_any_names(spark):
+    df = spark.createDataFrame([(i, "q", i) for i in range(6)], "_at long, at string, slot long")
+    for queue in (None, "at"):
+        got = fill(df, 4, "_at", queue=queue).orderBy("_at").collect()
+        assert [x._at for x in got] == list(range(6)) and [x.slot for x in got] == [0, 1, 2, 3, None, None] and len(got[0]) == 4
