@@ -53,6 +53,10 @@ STRONG, WEAK = 20.7, 6.0
 PRECISION, STRONG_PRECISION = 0.9, 0.5
 #: Letters of a term that may have one edit, and two.
 ONE_EDIT, TWO_EDITS = 4, 8
+#: Lengths of words from here on count as one.
+LONGEST = 64
+#: Misspelt matches of a term count if so many of the documents with them are toxic; else the words near the term are other words.
+LEAST_MISSPELT = 0.3
 #: Matches of a term in a document that are told apart.
 COUNTED = 4
 #: Words on each side of a match that are its context, and the weight of a quoted match before anything is learned, as much as so many documents.
@@ -122,9 +126,10 @@ class Lexicon(dict):
         self.terms = terms
         self.quoted, self.reports = (terms.quoted, terms.reports) if isinstance(terms, Terms) else (QUOTED, {})
         self.root = _Node()
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        self.middles: set[str] = set()
+        #: Pairs of letters at the beginning, the end and about the fourth letter, and the lengths of words there that can misspell a term.
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
+        self.middles: dict[str, set[int]] = {}
         for i, t in enumerate(terms):
             path = [self.root]
             for c in t.text:
@@ -137,11 +142,29 @@ class Lexicon(dict):
                 path[-1].stem = i
             if t.edits:
                 # Pairs of letters with one between them: an edit, a swap too, reaches one of them only.
-                self.heads |= {t.text[:2]} | ({t.text[0] + t.text[2]} if len(t.text) == ONE_EDIT else set())
+                size = len(t.text)
+                lengths = set(range(size - t.edits, size + t.edits + 1 if t.whole else LONGEST))
+                pairs = [(self.heads, t.text[:2])]
+                if size == ONE_EDIT:
+                    pairs.append((self.heads, t.text[0] + t.text[2]))
                 if t.whole:
-                    self.tails.add(t.text[-2:])
+                    pairs.append((self.tails, t.text[-2:]))
                 if t.edits == 2 or not t.whole:
-                    self.middles.add(t.text[3:5] if len(t.text) > ONE_EDIT else t.text[2:4])
+                    pairs.append((self.middles, t.text[3:5] if size > ONE_EDIT else t.text[2:4]))
+                for of, pair in pairs:
+                    of.setdefault(pair, set()).update(lengths)
+
+    def may_misspell(self, word: str) -> bool:
+        """Whether one of the word's pairs of letters stands where that of a term does; what can't, misspells none."""
+        n = min(len(word), LONGEST - 1)
+        for of, pair in ((self.heads, word[:2]), (self.tails, word[-2:])):
+            if pair in of and n in of[pair]:
+                return True
+        if self.middles:
+            for i in (1, 2, 3, 4):
+                if word[i : i + 2] in self.middles and n in self.middles[word[i : i + 2]]:
+                    return True
+        return False
 
     def __missing__(self, word: str) -> tuple[float, int, bool] | None:
         if len(self) >= REMEMBERED:
@@ -160,7 +183,7 @@ class Lexicon(dict):
                 best = max(best or (0.0, 0, False), (self.terms[node.stem].exact, node.stem, False))
             if node.term >= 0 and i + 1 == len(word):
                 best = max(best or (0.0, 0, False), (self.terms[node.term].exact, node.term, False))
-        if best is None and len(word) >= ONE_EDIT - 1 and self.root.edits and (word[:2] in self.heads or word[-2:] in self.tails or any(m in word for m in self.middles)):
+        if best is None and self.may_misspell(word):
             hit = self.near(word)
             if hit is not None:
                 best = (self.terms[hit].misspelt, hit, True)
@@ -413,7 +436,7 @@ def _totals(found: DataFrame) -> Counter[tuple]:
 
 
 def _calibrated(rows: DataFrame, chosen: list[Term]) -> Terms:
-    """The terms with what the sample tells of them: first of their contexts, then, by these, of their numbers.
+    """The terms with what the sample tells of them: first of their contexts and misspellings, then, by these, of their numbers.
 
     Of a document with several terms each counts for itself.  Misspelt matches
     have a prior of 0.75, counted as three documents, quoted ones that of QUOTED.
@@ -428,15 +451,16 @@ def _calibrated(rows: DataFrame, chosen: list[Term]) -> Terms:
     near = found.where("kind = 'near'").groupBy("word").agg(of(1).alias("toxic"), of(0).alias("clean"))
     reporting = near.where((F.col("clean") >= REPORTS) & (F.col("clean") >= REPORT_SHARE * (F.col("clean") + F.col("toxic")))).orderBy(F.desc("clean"), "word").limit(MAX_TERMS).collect()
     terms = Terms(chosen, quoted, {r["word"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in reporting})
+    for i, t in enumerate(terms):
+        a, b = got["misspelt", i, "", 1, 0], got["misspelt", i, "", 0, 0]
+        t.misspelt = (a + 2.25) / (a + b + 3) if t.misspelt else 0.0
+        if t.misspelt < LEAST_MISSPELT:
+            t.misspelt = 0.0
     got = _totals(_counted(rows, terms))
     for i, t in enumerate(terms):
         t.toxic = tuple(got["matches", i, "", 1, k] for k in range(1, COUNTED + 1))
         t.clean = got["documents", -1, t.text[:3], 0, 0]
         t.rate = (got["all", i, "", 0, 0] + 0.5) / (got["words", -1, t.text[:3], 0, 0] + 1000)
-        a, b = got["misspelt", i, "", 1, 0], got["misspelt", i, "", 0, 0]
-        t.misspelt = (a + 2.25) / (a + b + 3) if t.misspelt else 0.0
-        if t.misspelt < (1 - PRECISION):
-            t.misspelt = 0.0
     return terms
 
 
