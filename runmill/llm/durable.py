@@ -1,7 +1,22 @@
-"""Cutting lineage in the folder that all executors share, and sizes of plans."""
+"""Cutting lineage in the folder that all executors share, sizes of plans, and functions over whole rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from runmill.plans.durable import shared_folder
 from runmill.plans.durable import written as durable
 from runmill.plans.keys import size_in_bytes
 
-__all__ = ["durable", "shared_folder", "size_in_bytes"]
+__all__ = ["durable", "map_texts", "shared_folder", "size_in_bytes"]
+
+
+def map_texts(docs: DataFrame, change: Callable[[Iterator[tuple[pa.RecordBatch, int]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs``, batches of whole rows changed by a function that gets them with the place of ``text``; columns may have any names."""
+    at, names = docs.columns.index("text"), docs.columns
+    # Arrow functions don't take names with dots.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(lambda batches: change((b, at) for b in batches), plain.schema).toDF(*names)

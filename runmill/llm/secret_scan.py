@@ -52,6 +52,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runmill.llm.durable import map_texts
+
 KINDS = ("assign", "access", "hex")
 #: What the layers under one encoded run may hold together: so much, or so many times the text if that is more.  A piece of decompressed data may be as long.
 MAX_EXPANDED, EXPANDED_X = 64 << 20, 16
@@ -514,13 +516,12 @@ def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets in ``text`` replaced, and ``n_chars`` (if there) set to the new length."""
     columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+    def run(batches: Iterator[tuple[pa.RecordBatch, int]]) -> Iterator[pa.RecordBatch]:
+        for batch, at in batches:
             new = pa.array([redact(x, mark) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_texts(docs, run)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in columns])

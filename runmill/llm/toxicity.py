@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runmill.llm.durable import durable
+from runmill.llm.durable import durable, map_texts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 20_000
@@ -484,10 +484,9 @@ def score_documents(docs: DataFrame, terms: list[Term], threshold: float = THRES
 def without_toxic(docs: DataFrame, terms: list[Term], threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; rows and columns else unchanged."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.RecordBatch, int]]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([lexicon.score(x) < threshold for x in texts], pa.bool_()))
+        for batch, at in batches:
+            yield batch.filter(pa.array([lexicon.score(x) < threshold for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run)
