@@ -6,16 +6,14 @@ Parquet and read again as the next stage's docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from runmill.llm.bpe import encode_documents, round_trip_digests
-from runmill.llm.durable import shared_folder
 from runmill.llm.mixing import mix_order
 from runmill.llm.ngram_join import one_of_each
 from runmill.llm.secret_scan import redact_documents
 from runmill.llm.toxicity import learn, without_toxic
+from runmill.plans.durable import new_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +56,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the stages' results are written in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
