@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -215,8 +215,17 @@ def _encoded(vocab: Vocabulary, text: str, last: bool) -> tuple[np.ndarray, np.n
     return starts, counts, np.fromiter(chain.from_iterable(each), np.int64, int(counts[-1]))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """Rows (doc_id, ids array<int>)."""
+def _ids(vocab: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch
+
+
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, finish: Callable[[Vocabulary, pa.RecordBatch], pa.RecordBatch] = _ids, columns: str = "ids array<int>"
+) -> DataFrame:
+    """Rows (doc_id, ids array<int>), or what ``finish`` makes of batches of them: doc_id and ``columns``.
+
+    ``finish`` runs in the worker that encodes, so ids needn't leave it.
+    """
     if chunk_chars < 4 or not 3 <= overlap_chars <= chunk_chars:
         raise ValueError("chunks need 4 characters, and overlaps 3 up to a chunk")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -228,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
         for batch in batches:
             for part in steps(batch, pc.binary_length(batch.column(1))):
                 got = [encode_text(vocab, x, min(TASK_CHUNK, chunk_chars), min(TASK_OVERLAP, overlap_chars)).astype(np.int32) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield finish(vocab, pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"]))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,9 +260,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
         one = table.sort_by("k")
         unpack = lambda name: [np.frombuffer(x, np.int32).astype(np.int64) for x in one[name].to_pylist()]
         got = stitch(vocab, one["text"].to_pylist(), unpack("starts"), unpack("counts"), unpack("ids"), chunk_chars)
-        return pa.table({"doc_id": one["doc_id"].slice(0, 1), "copies": one["copies"].slice(0, 1), "ids": pa.array([got.astype(np.int32)], pa.list_(pa.int32()))})
+        done = finish(vocab, pa.RecordBatch.from_arrays([one["doc_id"].slice(0, 1).combine_chunks(), pa.array([got.astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "ids"]))
+        return pa.table([one["copies"].slice(0, 1), *done.columns], names=["copies", *done.schema.names])
 
-    out = f"doc_id {id_type}, ids array<int>"
+    out = f"doc_id {id_type}, {columns}"
     near = rows.where(~long_text).mapInArrow(short, out)
     key = f"doc_id {id_type}, text_hash long, other_hash long, k int, n int"
     far = (
@@ -265,9 +275,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_chars: int
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
         .mapInArrow(encoded, f"{key}, text string, copies long, starts binary, counts binary, ids binary")
         .groupBy("doc_id", "text_hash", "other_hash")
-        .applyInArrow(joined, f"doc_id {id_type}, copies long, ids array<int>")
-        .select("doc_id", "ids", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
-        .drop("copy")
+        .applyInArrow(joined, f"copies long, {out}")
+        .withColumn("copies", F.explode(F.expr("sequence(1L, copies)")))
+        .drop("copies")
     )
     return near.unionByName(far)
 
@@ -286,23 +296,36 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, data binary")
 
 
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(vocab: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, which are decoded for it."""
+    ids = batch.column(1)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0),
+            pc.list_value_length(ids).fill_null(0).cast(pa.int64()),
+            pa.array((hashlib.sha256(x[:-1]).hexdigest() for x in vocab.decimals(ids)), pa.string()),
+            pa.array((hashlib.sha256(x).hexdigest() for x in vocab.decode(ids)), pa.string()),
+        ],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
 def round_trip_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) from encoded rows, which are decoded for it."""
+    """``digests`` of encoded rows that are there already."""
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
             for part in steps(batch, pc.list_value_length(batch.column(1))):
-                ids = part.column(1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pc.list_value_length(ids).fill_null(0).cast(pa.int64()),
-                        pa.array((hashlib.sha256(x[:-1]).hexdigest() for x in vocab.decimals(ids)), pa.string()),
-                        pa.array((hashlib.sha256(x).hexdigest() for x in vocab.decode(ids)), pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                yield digests(vocab, part)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, {DIGESTS}")
+
+
+def encode_and_check(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Documents encoded and decoded again: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return encode_documents(docs, path, pattern, finish=digests, columns=DIGESTS)

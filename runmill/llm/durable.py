@@ -11,7 +11,18 @@ from runmill.plans.durable import shared_folder
 from runmill.plans.durable import written as durable
 from runmill.plans.keys import size_in_bytes
 
-__all__ = ["durable", "map_texts", "shared_folder", "size_in_bytes"]
+__all__ = ["durable", "map_texts", "parts", "shared_folder", "size_in_bytes"]
+
+
+#: Rows whose texts a worker unpacks to Python objects at a time.
+PART_ROWS = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows, to bound what a worker unpacks at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_texts(docs: DataFrame, change: Callable[[Iterator[tuple[pa.RecordBatch, int]]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -19,4 +30,4 @@ def map_texts(docs: DataFrame, change: Callable[[Iterator[tuple[pa.RecordBatch,
     at, names = docs.columns.index("text"), docs.columns
     # Arrow functions don't take names with dots.
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(lambda batches: change((b, at) for b in batches), plain.schema).toDF(*names)
+    return plain.mapInArrow(lambda batches: change((b, at) for b in parts(batches)), plain.schema).toDF(*names)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runmill.llm.components import components
-from runmill.llm.durable import durable
+from runmill.llm.durable import durable, parts
 from runmill.llm.skew import KEY_DDL, join_unique, row_key
 from runmill.llm.words import mix, shingle_sets
 
@@ -58,7 +58,7 @@ PERCENT = 75
 #: Part of the hash space that the first round looks at, in 1/65536.
 SAMPLED = 26_214
 #: Hashes that a range should hold.
-RANGE_HASHES = 1 << 21
+RANGE_HASHES = 1 << 20
 #: Sets that one task joins, pivots of a region, and sets of a cell that are compared without pivots.
 LEAF, PIVOTS, BASE = 1024, 16, 4
 #: Sets that meet their region's pivots in one part.
@@ -106,10 +106,21 @@ def _packed(ids: np.ndarray, sets: list[np.ndarray], ranges: int, sampled: int)
     )
 
 
+def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """The values of all rows of a binary column, one after the other, without a copy of each."""
+    parts = []
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        at = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and at[-1] > at[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(hash, id) of all blocks of a range, by hash and then id."""
-    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(table["ids"].to_pylist(), table["counts"].to_pylist(), strict=True)])
-    h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
+    ids = np.repeat(_joined(table["ids"], np.int64), _joined(table["counts"], np.uint32))
+    h = _joined(table["hashes"], np.uint64)
     order = np.lexsort((ids, h))
     return h[order], ids[order]
 
@@ -131,8 +142,7 @@ def _repeated(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
+    ids, n = _joined(table["ids"], np.int64), _joined(table["counts"], np.uint32).astype(np.int64)
     some, at = np.unique(ids, return_inverse=True)
     total = np.zeros(len(some), np.int64)
     np.add.at(total, at, n)
@@ -171,21 +181,14 @@ def _not_alone(sets: DataFrame, dealt: tuple[DataFrame, int]) -> DataFrame:
     return sets.join(shared, "id", "left").where(100 * (F.col("n") - alone) >= PERCENT * F.col("n")).drop("shared", "looked")
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Slices of so many rows, to bound what a worker unpacks at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _sets_of_texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Sets:
-    for batch in _parts(batches, 2048):
+    for batch in parts(batches, 1024):
         sets = list(shingle_sets(batch.column(0), shingle))
         yield np.array([_fingerprint(s) for s in sets], np.int64), sets
 
 
 def _sets_of_rows(batches: Iterator[pa.RecordBatch]) -> Sets:
-    for batch in _parts(batches, 2048):
+    for batch in parts(batches, 1024):
         yield batch.column(0).to_numpy(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
 
 
@@ -325,7 +328,7 @@ def _blocks(table: pa.Table) -> pa.Table:
 def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their region's pivots become rows of cells, and links to pivots."""
     kinds = {"hashes": pa.binary(), "nearest": pa.bool_()}
-    for batch in _parts(batches, 256):
+    for batch in parts(batches, 256):
         regions = batch.column(0).to_numpy()
         for region in np.unique(regions):
             rows = np.flatnonzero(regions == region)
@@ -391,9 +394,9 @@ def _region_links(items: DataFrame, leaf: int, pivots: int, max_rounds: int = 12
             break
         blocked = F.lit(True) if round_ == max_rounds else F.col("blocked")
         links.append(durable(_in_blocks(sized.where(large & blocked), leaf)))
-        parts = F.ceil(F.col("n") / PART).cast("int")
-        open_ = sized.where(large & ~blocked).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        wanted = todo.where(large).select("region", parts.alias("parts"), F.explode("chosen").alias("id"))
+        n_parts = F.ceil(F.col("n") / PART).cast("int")
+        open_ = sized.where(large & ~blocked).withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int"))
+        wanted = todo.where(large).select("region", n_parts.alias("parts"), F.explode("chosen").alias("id"))
         chosen = (
             open_.join(wanted, ["region", "id"])
             .groupBy("region", "parts")
@@ -428,7 +431,7 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 2048):
+        for batch in parts(batches, 1024):
             sets = list(shingle_sets(batch.column(2), shingle))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -442,7 +445,7 @@ def join_documents(docs: DataFrame, shingle: int = SHINGLE, leaf: int = LEAF, pi
             )
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 2048):
+        for batch in parts(batches, 1024):
             sets = list(shingle_sets(batch.column(1), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runmill.llm.bpe import encode_documents, round_trip_digests
+from runmill.llm.bpe import encode_and_check
 from runmill.llm.chat import OP2_SQL, format_preferences, swapped_ends
 from runmill.llm.mixing import mix_rows
 from runmill.llm.ngram_join import join_documents
@@ -38,8 +38,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return round_trip_digests(encode_documents(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return encode_and_check(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

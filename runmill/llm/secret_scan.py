@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runmill.llm.durable import map_texts
+from runmill.llm.durable import map_texts, parts
 
 KINDS = ("assign", "access", "hex")
 #: What the layers under one encoded run may hold together: so much, or so many times the text if that is more.  A piece of decompressed data may be as long.
@@ -164,6 +164,11 @@ class Escaped(Layer):
         a, b = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
         return self.origin[a] + (start - self.at[a]) * (self.width[a] or 1), self.origin[b] + (end - self.at[b]) * (self.width[b] or 1)
 
+    @property
+    def plain(self) -> bool:
+        """Whether the text is one without control characters."""
+        return not _CONTROL.search(self.text.encode("latin-1", "replace"))
+
     def new(self, start: int, end: int) -> bool:
         a, b = bisect_right(self.at, max(0, start)) - 1, bisect_right(self.at, end - 1) - 1
         return any(self.width[a : b + 1])
@@ -405,7 +410,8 @@ class _Scan:
             at = self._next(layer, raw, 0)
             if at >= 0:
                 self.packed.append((layer, raw, at))
-            if isinstance(layer, Escaped) or (isinstance(layer, Decoded) and (len(self.every) > before or (at < 0 and layer.plain))):
+            if not isinstance(layer, Unpacked) and (len(self.every) > before or (at < 0 and layer.plain)):
+                # Bytes that tell nothing are no layer worth counting; pieces of compressed data are counted as one.
                 self.layers += 1
             work.extend(self._below(layer))
 
@@ -472,7 +478,7 @@ def scan_documents(docs: DataFrame, max_expanded: int = MAX_EXPANDED) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [scan(x, max_expanded) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -94,9 +94,11 @@ def shard_documents(docs: DataFrame, leaves: tuple[Leaf, ...] | None = None, mor
     of a shard from 0 without gaps.  grown_shard is the shard under ``more``
     (default: one more shard).
 
-    Only doc_id, size and CRC are shuffled.  Rows are ranked inside (shard,
-    bucket) groups, so no task holds a shard; the offsets of the groups are at
-    most shards * BUCKETS rows, which bounds what is broadcast.
+    Only doc_id, size and CRC are shuffled.  Equal rows are counted first and
+    get consecutive slots, so a row that repeats very often is one row until the
+    end.  Rows are ranked inside (shard, bucket) groups, so no task holds a shard;
+    the offsets of the groups are at most shards * BUCKETS rows, which bounds what
+    is broadcast.
     """
     leaves = leaves or topology()
     more = more or grown(leaves)
@@ -111,17 +113,18 @@ def shard_documents(docs: DataFrame, leaves: tuple[Leaf, ...] | None = None, mor
         shard_of(F.col("doc_id"), more).cast("int").alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size"), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
+    different = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(within))
-    return ranked.join(F.broadcast(offsets), ["shard", "bucket"]).select(
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = different.withColumn("rank", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(F.broadcast(offsets), ["shard", "bucket"])
+    return ranked.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"),
+        F.explode(F.expr("sequence(offset + rank, offset + rank + copies - 1)")).alias("slot"),
         "grown_shard",
     )

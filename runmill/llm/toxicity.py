@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runmill.llm.durable import durable, map_texts
+from runmill.llm.durable import durable, map_texts, parts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 20_000
@@ -358,7 +358,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return Terms([])
 
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 found = list(placed_features(text))
                 yield pa.RecordBatch.from_arrays(
@@ -378,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(features(text) & names)
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["name", "n"])
@@ -400,7 +400,7 @@ def _counted(rows: DataFrame, terms: Terms) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, seen = Lexicon(terms), Counter()
         starts = {t.text[:3] for t in terms}
-        for batch in batches:
+        for batch in parts(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hits, words = lexicon.hits(text)
                 exact = [x for x in hits if not x[2]]
@@ -471,7 +471,7 @@ def score_documents(docs: DataFrame, terms: list[Term], threshold: float = THRES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms)
-        for batch in batches:
+        for batch in parts(batches):
             scores = [lexicon.score(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32())],
