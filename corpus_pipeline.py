@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runmill.llm.bpe import encode_documents, round_trip_digests
+from runmill.llm.bpe import encode_and_check
 from runmill.llm.mixing import mix_order
 from runmill.llm.ngram_join import one_of_each
 from runmill.llm.secret_scan import redact_documents
@@ -40,8 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return round_trip_digests(encode_documents(docs, path, pattern), path, pattern)
+    return encode_and_check(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
