@@ -51,8 +51,8 @@ BLOCK_ROWS = 8
 ALPHA = 0.5
 #: Rows of a source are ranked in ranges of their hash, of so many rows, and in so many ranges at least.
 RANGE_ROWS, RANGES = 1 << 16, 256
-#: Bytes of a partition in the order of the mix.
-PART_BYTES = 128 << 20
+#: Bytes of a partition in the order of the mix, rows that are worth one, and rows that it has at least by its bytes.
+PART_BYTES, PART_ROWS, LEAST_ROWS = 128 << 20, 1 << 10, 1 << 6
 
 
 def _whole(weights: dict[str | None, float]) -> dict[str | None, int]:
@@ -213,7 +213,9 @@ def mix_order(docs: DataFrame, **how) -> DataFrame:
     same = Window.partitionBy("_key")
     places = durable(mix_rows(keyed, carry=["_key"], **how).select("_key", "_mix_position").withColumn("_copy", F.row_number().over(same.orderBy("_mix_position"))))
     n = places.count()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_in_bytes(docs) // PART_BYTES))
+    # The size is an estimate, and a great one where nothing is known.
+    by_size = min(-(-size_in_bytes(docs) // PART_BYTES), -(-n // LEAST_ROWS))
+    parts = max(1, by_size, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS)))
     each = max(1, -(-n // parts))
     rows = keyed.select("_key", "_whole").withColumn("_copy", F.row_number().over(same.orderBy(F.lit(1)))).join(places, ["_key", "_copy"])
-    return rows.repartitionById(min(parts, max(1, n)), F.expr(f"CAST(_mix_position div {each} AS INT)")).sortWithinPartitions("_mix_position").select("_whole.*")
+    return rows.repartitionById(parts, F.expr(f"CAST(_mix_position div {each} AS INT)")).sortWithinPartitions("_mix_position").select("_whole.*")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runmill.llm.durable import durable, map_texts, parts
+from runmill.llm.durable import durable, hash_sample, map_texts, parts
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 20_000
@@ -351,7 +351,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample's toxic rows.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = hash_sample(known, F.xxhash64("doc_id"), sample_rows, "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = durable(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").where(F.col("text").isNotNull()))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):

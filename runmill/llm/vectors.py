@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runmill.llm.components import components
-from runmill.llm.durable import durable
+from runmill.llm.durable import durable, hash_sample
 from runmill.llm.skew import join_unique
 
 MIN_COSINE = 0.93
@@ -169,7 +169,7 @@ def link_vectors(
         .withColumn("size", F.size("embedding"))
     )
     # A bounded sample of rows is fitted on the driver.
-    sample = distinct.orderBy("key").limit(sample_rows).select("embedding").toPandas()["embedding"].tolist()
+    sample = hash_sample(distinct.select("key", "embedding"), F.col("key"), sample_rows).select("embedding").toPandas()["embedding"].tolist()
     if not sample:
         return plain.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     by_size: dict[int, list] = {}
