@@ -217,5 +217,9 @@ def mix_order(docs: DataFrame, **how) -> DataFrame:
     by_size = min(-(-size_in_bytes(docs) // PART_BYTES), -(-n // LEAST_ROWS))
     parts = max(1, by_size, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS)))
     each = max(1, -(-n // parts))
-    rows = keyed.select("_key", "_whole").withColumn("_copy", F.row_number().over(same.orderBy(F.lit(1)))).join(places, ["_key", "_copy"])
+    # Nearly all keys have one row, which needs no more than the join by its key.
+    by_key = places.groupBy("_key").agg(F.min("_mix_position").alias("_mix_position"), F.count(F.lit(1)).alias("_copies"))
+    met = keyed.select("_key", "_whole").join(by_key, "_key")
+    many = met.where("_copies > 1").drop("_mix_position").withColumn("_copy", F.row_number().over(same.orderBy(F.lit(1)))).join(places, ["_key", "_copy"])
+    rows = met.where("_copies = 1").select("_whole", "_mix_position").unionByName(many.select("_whole", "_mix_position"))
     return rows.repartitionById(parts, F.expr(f"CAST(_mix_position div {each} AS INT)")).sortWithinPartitions("_mix_position").select("_whole.*")
